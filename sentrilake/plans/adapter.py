@@ -36,9 +36,9 @@ SELECT artifact_id, session_day, host_id, num_id, event_id, ts, k, event_type,
   CASE WHEN event_type IN ('FileOpen', 'FileRead', 'FileWrite', 'FileDelete') THEN
     concat(CASE WHEN k % 7 = 0 THEN '/tmp/' WHEN k % 11 = 0 THEN '/etc/SAM/' ELSE '/data/' END,
       'f', CAST(k % 30 AS VARCHAR(8))) END AS path,
-  CASE WHEN event_type = 'ProcessSpawn' THEN 100 + (k + 5) % 10 END AS child_pid,
+  CASE WHEN event_type = 'ProcessSpawn' THEN 100 + child END AS child_pid,
   CASE WHEN event_type = 'ProcessSpawn'
-    THEN concat('/usr/bin/proc', CAST((k + 5) % 10 AS VARCHAR(8)), '.exe') END AS child_path,
+    THEN concat('/usr/bin/proc', CAST(child AS VARCHAR(8)), '.exe') END AS child_path,
   CASE WHEN event_type = 'ProcessExit' THEN k % 4 END AS exit_code,
   CASE WHEN event_type = 'CryptoOperation' THEN
     CASE k % 3 WHEN 0 THEN 'SHA256' WHEN 1 THEN 'AES-256-cbc' ELSE 'ChaCha20' END END AS algorithm,
@@ -61,6 +61,7 @@ SELECT artifact_id, session_day, host_id, num_id, event_id, ts, k, event_type,
   CASE WHEN k % 3 = 0 THEN NULL ELSE concat('user', CAST(k % 5 AS VARCHAR(8))) END AS user_name
 FROM (
   SELECT artifact_id, session_day, host_id, num_id, event_id, ts, k,
+    CASE WHEN k % 3 = 0 THEN (k % 2) * 5 ELSE (k + 5) % 10 END AS child,
     CASE kind
       WHEN 'click' THEN CASE k % 5 WHEN 0 THEN 'ProcessStart' WHEN 1 THEN 'FileRead'
         ELSE 'FileOpen' END

@@ -266,7 +266,7 @@ letters AS (
   SELECT {ident}, label, unnest(regexp_extract_all(hex(encode(label)), '..')) AS b FROM labels_),
 per_byte AS (SELECT {ident}, label, b, count(*) AS n FROM letters GROUP BY ALL),
 entropy AS (
-  SELECT {ident}, label, -sum((n / strlen(label)) * log2(n / strlen(label))) AS h
+  SELECT {ident}, label, abs(sum((n / strlen(label)) * log2(n / strlen(label)))) AS h
   FROM per_byte GROUP BY ALL),
 dga AS (
   SELECT l.{ident}, coalesce(h, 0) AS h, strlen(l.label) >= 8 AND (
@@ -390,12 +390,12 @@ FROM heads JOIN (SELECT {keys}, avg(gap) AS m, stddev_pop(gap) AS s FROM gaps WH
   GROUP BY {keys} HAVING count(*) >= 2) USING ({keys}) WHERE sample_count >= 3""",
         more=f"""connects AS (
   SELECT artifact_id, process_name AS process, remote_address || ':' || remote_port AS destination,
-    epoch_us(ts) AS at, event_id FROM ev WHERE event_type = 'NetworkConnect'),
+    epoch_us(ts) AS us, event_id FROM ev WHERE event_type = 'NetworkConnect'),
 gaps AS (
-  SELECT {keys}, (at - lag(at) OVER (PARTITION BY {keys} ORDER BY at)) // 1000000 AS gap
+  SELECT {keys}, (us - lag(us) OVER (PARTITION BY {keys} ORDER BY us)) // 1000000 AS gap
   FROM connects),
 heads AS (
-  SELECT {keys}, count(*) AS sample_count, arg_min(destination, (at, event_id)) AS target
+  SELECT {keys}, count(*) AS sample_count, arg_min(destination, (us, event_id)) AS target
   FROM connects GROUP BY {keys})""",
     )
 
@@ -566,7 +566,7 @@ def _sanitized(allowed: str, redact_raw_evidence: bool):
             F.col("process_identity.user").alias("user"),
             F.col("data.payload.content_hash").alias("content_hash"),
             F.array_join("data.payload.environment_keys", ",").alias("environment_keys"),
-            F.cast(F.size("raw_evidence"), "int").alias("raw_entries"),
+            F.size("raw_evidence").alias("raw_entries"),
         )
 
     return run

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 PACKED_ENTROPY = 7.20
@@ -70,7 +71,7 @@ STACK_PATTERN = (
 )
 
 
-@pandas_udf("array<bigint>")
+@pandas_udf(T.ArrayType(T.LongType()))
 def _histogram(chunks: pd.Series) -> pd.Series:
     """How often each byte value occurs."""
     return chunks.map(
@@ -143,14 +144,24 @@ def _named(number: Column, names: dict[int, str], default: Column) -> Column:
     return F.coalesce(F.try_element_at(table, number.cast("int")), default)
 
 
-def _with_layout(files: DataFrame) -> DataFrame:
-    """Add ``_pe`` (start of the PE header) and ``_opt`` for valid PE files."""
+def _pe_start() -> Column:
+    """Offset of the PE header; null if the content is not a PE file."""
     size = F.octet_length("content")
     start = F.when((size >= 64) & _bytes_at(0, b"MZ"), _little(0x3C, 4))
-    valid = F.when(
+    return F.when(
         (start < 2**31 - 64) & (size >= start + 24) & _bytes_at(start, b"PE\0\0"), start
     )
-    return files.withColumn("_pe", valid).withColumn("_opt", F.col("_pe") + 24)
+
+
+def _pe_files(files: DataFrame) -> DataFrame:
+    """PE files with ``_pe`` and ``_opt``, the offsets of their two headers.
+
+    The offset goes through ``explode``, which drops other files and makes Spark
+    compute it once instead of repeating its expression in every field.
+    """
+    return files.select(
+        "path", "content", F.explode(F.array_compact(F.array(_pe_start()))).alias("_pe")
+    ).withColumn("_opt", F.col("_pe") + 24)
 
 
 def pe_headers(files: DataFrame) -> DataFrame:
@@ -170,8 +181,7 @@ def pe_headers(files: DataFrame) -> DataFrame:
     rich = F.substr("content", F.lit(0x81), (pe - 0x80).cast("int"))
     has_rich = (pe > 0x80) & F.contains(_latin(rich), F.lit("Rich"))
     return (
-        _with_layout(files)
-        .filter(pe.isNotNull())
+        _pe_files(files)
         .withColumn("is_64bit", F.coalesce(_little(opt, 2) == 0x20B, F.lit(False)))
         .withColumn("machine", _little(pe + 4, 2))
         .withColumn("_optional_size", _little(pe + 20, 2))
@@ -235,46 +245,47 @@ def pe_data_directories(files: DataFrame) -> DataFrame:
             )
         )
     return (
-        _with_layout(files)
-        .filter(F.col("_pe").isNotNull())
+        _pe_files(files)
         .select("path", F.inline(F.array_compact(F.array(*entries))))
         .filter((F.col("rva") > 0) & (F.col("size") > 0))
     )
 
 
+def _section_headers() -> Column:
+    """Index and offset of the section headers that end within the file."""
+    count = _little(F.col("_pe") + 6, 2).cast("int")
+    table = F.col("_opt") + _little(F.col("_pe") + 20, 2)
+    places = F.transform(
+        F.when(count > 0, F.sequence(F.lit(0), count - 1)),
+        lambda i: F.struct(i.alias("section_index"), (table + i * 40).alias("_at")),
+    )
+    return F.filter(places, lambda h: h["_at"] + 40 <= F.octet_length("content"))
+
+
+def _section_data(at: Column) -> Column:
+    """Data of the section whose header is at ``at``; empty if it lies outside the file."""
+    size, start = _little(at + 16, 4), _little(at + 20, 4)
+    return F.when(
+        start + size <= F.octet_length("content"),
+        F.substr("content", start.cast("int") + 1, size.cast("int")),
+    ).otherwise(F.substr("content", F.lit(1), F.lit(0)))
+
+
 def pe_sections(files: DataFrame) -> DataFrame:
     """One row per section header that lies within the file, with its entropy.
 
     A section whose data lies outside the file counts as empty.
     """
-    pe, at = F.col("_pe"), F.col("_at")
-    size = F.octet_length("content")
-    rows = (
-        _with_layout(files)
-        .filter(pe.isNotNull())
-        .withColumn("_n", _little(pe + 6, 2).cast("int"))
-        .withColumn("_table", F.col("_opt") + _little(pe + 20, 2))
-        .filter(F.col("_n") > 0)
-        .withColumn("section_index", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        .withColumn("_at", F.col("_table") + F.col("section_index") * 40)
-        .filter(at + 40 <= size)
-        .withColumn("raw_data_size", _little(at + 16, 4))
-        .withColumn("raw_data_ptr", _little(at + 20, 4))
-    )
-    flags = F.col("characteristics")
-    inside = F.col("raw_data_ptr") + F.col("raw_data_size") <= size
-    data = F.when(
-        inside,
-        F.substr("content", F.col("raw_data_ptr").cast("int") + 1, F.col("raw_data_size").cast("int")),
-    ).otherwise(F.substr("content", F.lit(1), F.lit(0)))
+    at, flags = F.col("_at"), F.col("characteristics")
+    rows = _pe_files(files).select("path", "content", F.inline(_section_headers()))
     name = F.regexp_replace(
         F.decode(F.substr("content", at.cast("int") + 1, F.lit(8)), "ISO-8859-1"), r"^\x00+|\x00+$", ""
     )
     headers = rows.select(
         "path", "section_index", name.alias("name"),
         _little(at + 8, 4).alias("virtual_size"), _little(at + 12, 4).alias("virtual_address"),
-        "raw_data_size", "raw_data_ptr", _little(at + 36, 4).alias("characteristics"),
-        inside.alias("_inside"),
+        _little(at + 16, 4).alias("raw_data_size"), _little(at + 20, 4).alias("raw_data_ptr"),
+        _little(at + 36, 4).alias("characteristics"),
     ).select(
         "*",
         (flags.bitwiseAND(0x20000000) != 0).alias("is_executable"),
@@ -282,9 +293,10 @@ def pe_sections(files: DataFrame) -> DataFrame:
         (flags.bitwiseAND(F.lit(0x80000000)) != 0).alias("is_writable"),
     )
     entropy = byte_entropy(
-        rows.select("path", "section_index", data.alias("_data")), ["path", "section_index"], "_data"
+        rows.select("path", "section_index", _section_data(at).alias("_data")),
+        ["path", "section_index"], "_data",
     ).select("path", "section_index", "entropy")
-    return headers.join(entropy, ["path", "section_index"]).drop("_inside")
+    return headers.join(entropy, ["path", "section_index"])
 
 
 def binary_triage(files: DataFrame) -> DataFrame:
@@ -311,9 +323,12 @@ def binary_triage(files: DataFrame) -> DataFrame:
     )
     fmt = F.col("format")
     elf, macho = fmt == "ELF", fmt == "Mach-O"
+    # The generators make Spark compute the header offset and the format once.
+    located = files.select(
+        "path", "content", F.explode(F.array(F.struct(_pe_start().alias("_pe")))).alias("_h")
+    ).select("path", "content", "_h._pe", (F.col("_h._pe") + 24).alias("_opt"))
     facts = (
-        _with_layout(files)
-        .withColumn("format", kind)
+        located.select("*", F.explode(F.array(kind)).alias("format"))
         .select(
             "path",
             size.cast("long").alias("size_bytes"),
@@ -338,21 +353,31 @@ def binary_triage(files: DataFrame) -> DataFrame:
             F.when(macho, _little(16, 4)).alias("load_commands"),
         )
     )
-    entropy = byte_entropy(files).select("path", "entropy")
-    dense = (
-        pe_sections(files)
+    # The whole file (part -1) and its sections are counted in one pass.
+    whole = F.array(F.struct(F.lit(-1).alias("part"), F.col("content").alias("data")))
+    sections = F.transform(
+        F.when(F.col("_pe").isNotNull(), _section_headers()),
+        lambda h: F.struct(h["section_index"].alias("part"), _section_data(h["_at"]).alias("data")),
+    )
+    parts = located.select(
+        "path", F.inline(F.when(sections.isNull(), whole).otherwise(F.concat(whole, sections)))
+    )
+    entropy = (
+        byte_entropy(parts, ["path", "part"], "data")
         .groupBy("path")
-        .agg(F.count_if(F.col("entropy") >= PACKED_ENTROPY).alias("_dense"))
+        .agg(
+            F.max(F.when(F.col("part") == -1, F.col("entropy"))).alias("entropy"),
+            F.count_if((F.col("part") >= 0) & (F.col("entropy") >= PACKED_ENTROPY)).alias("_dense"),
+        )
     )
     h = F.col("entropy")
     by_format = (
-        F.when(fmt == "PE", (h > 7.3) | (F.coalesce("_dense", F.lit(0)) > 0))
+        F.when(fmt == "PE", (h > 7.3) | (F.col("_dense") > 0))
         .when(elf | macho, h > 7.35)
         .otherwise(False)
     )
     return (
         facts.join(entropy, "path")
-        .join(dense, "path", "left")
         .withColumn("is_packed", by_format | (h >= PACKED_ENTROPY))
         .drop("_dense")
     )
@@ -449,7 +474,7 @@ def syscall_stubs(files: DataFrame) -> DataFrame:
     )
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def _small_entropy(slices: pd.Series) -> pd.Series:
     """Entropy of slices of a few kilobytes."""
 
@@ -533,26 +558,38 @@ def stack_strings(files: DataFrame) -> DataFrame:
     )
 
 
+@pandas_udf(T.ArrayType(T.IntegerType()))
+def _candidate_keys(contents: pd.Series) -> pd.Series:
+    """XOR keys under which one of the words occurs.
+
+    The XOR of neighbouring bytes does not depend on the key, so one search for
+    the word's own differences finds every occurrence under any key.
+    """
+    words = [np.frombuffer(word.encode(), dtype=np.uint8) for word in XOR_WORDS]
+    patterns = [(int(w[0]), (w[1:] ^ w[:-1]).tobytes()) for w in words]
+
+    def keys(content: bytes) -> list[int]:
+        raw = np.frombuffer(content, dtype=np.uint8)
+        steps = (raw[1:] ^ raw[:-1]).tobytes()
+        found = set()
+        for first, pattern in patterns:
+            at = steps.find(pattern)
+            while at >= 0:
+                found.add(first ^ content[at])
+                at = steps.find(pattern, at + 1)
+        return sorted(found - {0})
+
+    return contents.map(keys)
+
+
 def xor_strings(files: DataFrame) -> DataFrame:
     """Printable runs of seven or more bytes hidden by a one-byte XOR key.
 
-    A key is only decoded where one of the words occurs under it, so most of the
-    255 keys cost a substring search. A run that reaches the end of the content
-    is not reported.
+    Only keys under which one of the words occurs are decoded. A run that reaches
+    the end of the content is not reported.
     """
-    hidden = [
-        bytes(b ^ key for b in word.encode()).decode("latin-1")
-        for key in range(1, 256)
-        for word in XOR_WORDS
-    ]
-    hits = F.transform(
-        F.array(*[F.lit(h) for h in hidden]),
-        lambda needle, i: F.when(
-            F.contains(F.col("_text"), needle), F.floor(i / len(XOR_WORDS)).cast("int") + 1
-        ),
-    )
-    keyed = files.select("path", _latin().alias("_text")).select(
-        "path", "_text", F.explode(F.array_distinct(F.array_compact(hits))).alias("key")
+    keyed = files.select(
+        "path", _latin().alias("_text"), F.explode(_candidate_keys("content")).alias("key")
     )
     # Alphabet of one key: printable results stay, all others become one mark.
     mark = "Ā"

@@ -198,12 +198,12 @@ def nest_events(flat: DataFrame) -> DataFrame:
     return flat.select(*nested)
 
 
-# Event tables written by this process, by application, folder and kind.
+# Tables written by this process, by application, folder and kind.
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _table(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Event table on shared storage, written when it is first asked for.
+def stored(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Table on shared storage, written when it is first asked for.
 
     This is the ingest step: the queries then read typed Parquet, where filters
     and field selection reach the files.
@@ -216,7 +216,7 @@ def _table(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], Data
 
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with one session per user."""
-    return _table(
+    return stored(
         spark, sf_dir, "session", lambda: nest_events(flat_events(load(spark, sf_dir, "events")))
     )
 
@@ -228,11 +228,11 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         flat = flat_events(load(spark, sf_dir, "events"))
         return nest_events(flat.withColumn("artifact_id", F.col("session_day")))
 
-    return _table(spark, sf_dir, "daily", build)
+    return stored(spark, sf_dir, "daily", build)
 
 
 def ordered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session events with ``ord``, the dense place in time order."""
-    return _table(
+    return stored(
         spark, sf_dir, "ordered", lambda: deterministic_order(session_events(spark, sf_dir))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrilake.operators import triage
-from sentrilake.plans.adapter import load
+from sentrilake.plans.adapter import load, stored
 from sentrilake.plans.query import Query
 from sentrilake.sources.binaries import read_binaries
 
@@ -79,19 +79,20 @@ _CODE = """CASE doc_id % 5
   ELSE 'C645F074C645F165C645F273C645F374C645F400' END""".format(le=_le32("doc_id"))
 
 
-def _spark(spark: SparkSession, d: str, sql: str) -> DataFrame:
-    return spark.sql(sql, docs=load(spark, d, "documents"))
+def _spark(spark: SparkSession, d: str, kind: str, sql: str) -> DataFrame:
+    """Files spelled by ``sql``, written once like recorded files would be."""
+    return stored(spark, d, kind, lambda: spark.sql(sql, docs=load(spark, d, "documents")))
 
 
 def binary_files(spark: SparkSession, d: str) -> DataFrame:
-    return _spark(spark, d, _SPARK_FILES).select(
-        "doc_id", "path", F.unhex("hexed").alias("content")
+    return _spark(
+        spark, d, "binaries", f"SELECT path, unhex(hexed) AS content FROM ({_SPARK_FILES}) f"
     )
 
 
 def code_files(spark: SparkSession, d: str) -> DataFrame:
     return _spark(
-        spark, d,
+        spark, d, "code",
         f"SELECT concat('doc-', doc_id) AS path, unhex(concat(hex(text), {_CODE}, hex(text))) "
         "AS content FROM {docs}",
     )
@@ -110,7 +111,7 @@ def _hidden() -> str:
 
 def xor_files(spark: SparkSession, d: str) -> DataFrame:
     return _spark(
-        spark, d,
+        spark, d, "hidden",
         f"SELECT concat('doc-', doc_id) AS path, unhex(concat(hex(text), {_hidden()}, hex(text))) "
         "AS content FROM {docs}",
     )
@@ -123,7 +124,7 @@ _REGION_SQL = """SELECT doc_id % 50 AS pid, doc_id * 65536 AS base_address, doc_
 
 
 def memory_regions(spark: SparkSession, d: str) -> DataFrame:
-    return _spark(spark, d, _REGION_SQL.format(table="{docs}")).select(
+    return _spark(spark, d, "regions", _REGION_SQL.format(table="{docs}")).select(
         "pid", F.col("base_address").cast("decimal(20,0)").alias("base_address"), "mapped_file",
         F.unhex("hexed").alias("content"),
     )

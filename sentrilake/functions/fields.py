@@ -64,7 +64,15 @@ def _quoted(text: Column) -> Column:
 
 
 def _quoted_list(texts: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(texts, _quoted), ", "), F.lit("]"))
+    """Quoted texts in brackets.
+
+    The list is joined by a control character and quoted as one text, which keeps
+    the expression inside generated code.
+    """
+    quoted = F.replace(_quoted(F.array_join(texts, "\x01")), F.lit("\x01"), F.lit('", "'))
+    return F.when(F.size(texts) == 0, F.lit("[]")).otherwise(
+        F.concat(F.lit("["), quoted, F.lit("]"))
+    )
 
 
 def _optional(text: Column) -> Column:

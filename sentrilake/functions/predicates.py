@@ -2,7 +2,9 @@
 
 ``pred(field, op, value)`` gives a Column that is never null: a field that does
 not apply to a row makes the predicate false, so ``~pred(...)`` keeps the row.
-Combine predicates with ``&``, ``|`` and ``~``.
+Combine predicates with ``&``, ``|`` and ``~``. Nulls are excluded by null-safe
+equality and explicit tests, which the Parquet reader can use; a surrounding
+``coalesce`` would keep the filter from it.
 """
 
 from __future__ import annotations
@@ -57,16 +59,20 @@ def pred(field: str, op: str, value: Value) -> Column:
     elif kind == "port":
         out = _only("NetworkConnect") & _number_test(payload("remote_port"), op, value)
     elif kind == "path":
-        out = F.col("event_type").isin(PATH_TYPES) & _text_test(F.lower(payload("path")), op, value)
+        out = _type_in(PATH_TYPES) & _text_test(F.lower(payload("path")), op, value)
     elif kind in ("confidence", "privacy"):
         out = _text_test(F.lower(F.col(kind)), op, value)
     else:
         out = F.lit(False)
-    return F.coalesce(out, F.lit(False))
+    return out
 
 
 def _only(event_type: str) -> Column:
-    return F.col("event_type") == event_type
+    return F.col("event_type").eqNullSafe(event_type)
+
+
+def _type_in(names: list[str]) -> Column:
+    return F.col("event_type").isNotNull() & F.col("event_type").isin(names)
 
 
 def _as_text(value: Value) -> str:
@@ -88,13 +94,13 @@ def _text_test(actual: Column, op: str, value: Value) -> Column:
     """Equality and literal substring tests; order operators are false."""
     expected = F.lit(_as_text(value))
     if op == "=":
-        return actual == expected
+        return actual.eqNullSafe(expected)
     if op == "!=":
-        return actual != expected
+        return actual.isNotNull() & (actual != expected)
     if op == "CONTAINS":
-        return actual.contains(expected)
+        return actual.isNotNull() & actual.contains(expected)
     if op == "STARTS_WITH":
-        return actual.startswith(expected)
+        return actual.isNotNull() & actual.startswith(expected)
     return F.lit(False)
 
 
@@ -107,13 +113,11 @@ def _type_test(op: str, value: Value) -> Column:
         name = _PASCAL.get(_as_text(value))
         if name is None:
             return F.lit(op == "!=")
-        return (F.col("event_type") == name) if op == "=" else (F.col("event_type") != name)
+        return _only(name) if op == "=" else ~_only(name)
     if op == "CONTAINS":
-        return F.col("event_type").isin([n for low, n in _PASCAL.items() if _as_text(value) in low])
+        return _type_in([n for low, n in _PASCAL.items() if _as_text(value) in low])
     if op == "STARTS_WITH":
-        return F.col("event_type").isin(
-            [n for low, n in _PASCAL.items() if low.startswith(_as_text(value))]
-        )
+        return _type_in([n for low, n in _PASCAL.items() if low.startswith(_as_text(value))])
     return F.lit(False)
 
 
@@ -125,18 +129,18 @@ def _number_test(actual: Column, op: str, value: Value) -> Column:
             same = actual == int(number)
         else:
             same = F.abs(actual.cast("double") - F.lit(number)) < F.lit(_EPSILON)
-        return same if op == "=" else ~same
+        return actual.isNotNull() & (same if op == "=" else ~same)
     if number != number:
         return F.lit(False)
     bound = F.lit(int(number)) if number.is_integer() and abs(number) < 2**53 else F.lit(number)
     if op == "<":
-        return actual < bound
+        return actual.isNotNull() & (actual < bound)
     if op == "<=":
-        return actual <= bound
+        return actual.isNotNull() & (actual <= bound)
     if op == ">":
-        return actual > bound
+        return actual.isNotNull() & (actual > bound)
     if op == ">=":
-        return actual >= bound
+        return actual.isNotNull() & (actual >= bound)
     return F.lit(False)
 
 
@@ -146,7 +150,7 @@ def _flag_test(actual: Column, op: str, value: Value) -> Column:
     else:
         expected = value != 0
     if op == "=":
-        return actual == F.lit(expected)
+        return actual.eqNullSafe(F.lit(expected))
     if op == "!=":
-        return actual != F.lit(expected)
+        return actual.eqNullSafe(F.lit(not expected))
     return F.lit(False)

@@ -62,7 +62,7 @@ def deterministic_order(events: DataFrame, out: str = "ord") -> DataFrame:
 
 
 def bucket_of(position: Column, size: int = BUCKET) -> Column:
-    return F.floor(position / size).cast("long")
+    return F.call_function("div", position, F.lit(size))
 
 
 def adjacent_pairs(
@@ -72,17 +72,23 @@ def adjacent_pairs(
 
     ``position`` numbers the session densely, so a bucket holds at most ``size``
     rows. Pairs inside a bucket come from a window on (keys, bucket); pairs
-    across buckets from the first and last row of every bucket.
+    across buckets from the first and last row of every bucket, which the same
+    shuffle delivers.
     """
     placed = rows.select(*keys, ident, position).withColumn("_b", bucket_of(F.col(position), size))
     inner = W.partitionBy(*keys, "_b").orderBy(position)
-    inside = placed.select(*keys, F.lag(ident).over(inner).alias("src"), F.col(ident).alias("dst"))
-    ends = placed.groupBy(*keys, "_b").agg(
-        F.min_by(ident, position).alias("_first"), F.max_by(ident, position).alias("_last")
+    linked = placed.withColumn("src", F.lag(ident).over(inner)).withColumn(
+        "_next", F.lead(ident).over(inner)
     )
-    outer = W.partitionBy(*keys).orderBy("_b")
-    across = ends.select(*keys, F.lag("_last").over(outer).alias("src"), F.col("_first").alias("dst"))
-    return inside.unionByName(across).filter(F.col("src").isNotNull())
+    # At most two rows of each bucket; the row before a bucket's first row is the
+    # last row of an earlier bucket.
+    ends = linked.filter(F.col("src").isNull() | F.col("_next").isNull())
+    outer = W.partitionBy(*keys).orderBy(position)
+    across = ends.withColumn("_before", F.lag(ident).over(outer)).filter(F.col("src").isNull())
+    pairs = linked.select(*keys, "src", F.col(ident).alias("dst")).unionByName(
+        across.select(*keys, F.col("_before").alias("src"), F.col(ident).alias("dst"))
+    )
+    return pairs.filter(F.col("src").isNotNull())
 
 
 def first_per_session(

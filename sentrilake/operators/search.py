@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrilake.functions.fields import payload, process_name
-from sentrilake.functions.vectors import cosine_similarity, l2_normalize
+from sentrilake.functions.vectors import cosine_similarity
 
 # Event types of dimensions 0 to 18; all others share 19.
 VECTOR_TYPES = [
@@ -45,9 +46,15 @@ def behavior_vectors(events: DataFrame, key: str = "artifact_id") -> DataFrame:
     counts.append(events_where(~kind.isin(VECTOR_TYPES)))
     counts += [F.count_distinct(c) for c in ("_path", "_ip", "_name")]
     counts.append(F.sum("_n"))
-    counts += [F.lit(0)] * (DIMENSIONS - len(counts))
-    raw = folded.groupBy(key).agg(F.array(*[c.cast("double") for c in counts]).alias("_counts"))
-    return raw.select(key, l2_normalize(F.col("_counts")).alias("vector"))
+    names = [f"_c{i}" for i in range(len(counts))]
+    raw = folded.groupBy(key).agg(
+        *[c.cast("double").alias(n) for c, n in zip(counts, names, strict=True)]
+    )
+    # Every session has events, so the length is positive.
+    length = F.sqrt(reduce(lambda a, b: a + b, [F.col(n) * F.col(n) for n in names]))
+    scaled = [F.col(n) / F.col("_length") for n in names]
+    scaled += [F.lit(0.0)] * (DIMENSIONS - len(names))
+    return raw.withColumn("_length", length).select(key, F.array(*scaled).alias("vector"))
 
 
 def _label(similarity: Column) -> Column:
@@ -64,11 +71,12 @@ def search_similar(
     """
     query = vectors.filter(F.col(key) == F.lit(query_id)).select("vector").scalar()
     similarity = F.col("similarity")
+    # As a generator the similarity is computed once, not again in the filter.
+    score = F.array(cosine_similarity(F.col("vector"), F.col("_query")))
     return (
         vectors.filter(F.col(key) != F.lit(query_id))
         .withColumn("_query", query)
-        .withColumn("similarity", cosine_similarity(F.col("vector"), F.col("_query")))
-        .filter(similarity >= threshold)
+        .select(key, F.explode(F.filter(score, lambda s: s >= threshold)).alias("similarity"))
         .select(
             key,
             "similarity",

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sentrilake.operators.detect import risk_columns, scan
 from sentrilake.operators.ordering import TIME_ORDER
+from sentrilake.session import remove_path
 from sentrilake.sources.rules import Rule, builtin_rules
 
 BUFFER = 50_000
@@ -43,7 +44,8 @@ class RiskWatch:
     ``state/batch=k`` holds the buffers after batch k, ``incidents/batch=k`` the
     hosts at or above the trigger, ``snapshots/batch=k`` the buffered events of
     those hosts. Batch k reads only batch k-1 and overwrites its own folders, so
-    a repeated batch after a failure gives the same files.
+    a repeated batch after a failure gives the same files. Only the last batch
+    can be repeated, so older states are removed.
     """
 
     def __init__(
@@ -88,6 +90,8 @@ class RiskWatch:
         state.join(hosts, self.key, "left_semi").write.mode("overwrite").parquet(
             f"{self.path}/snapshots/batch={batch_id}"
         )
+        if batch_id > 1:
+            remove_path(spark, f"{self.path}/state/batch={batch_id - 2}")
 
     def start(self, events: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
         writer = events.writeStream.foreachBatch(self.process).option(

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+from decimal import Decimal
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -55,6 +56,8 @@ class EventMaker:
             payload = dict.fromkeys(PAYLOAD.fieldNames())
             unknown = set(spec) - set(payload)
             assert not unknown, unknown
+            if "address" in spec:
+                spec["address"] = Decimal(spec["address"])
             payload.update(spec)
             row["data"] = {"category": kind, "payload": payload}
             if ordered:

@@ -146,9 +146,12 @@ def test_text_search(make):
     assert text_search(events, "EVIL100high2024-05-01 12").count() == 1
 
 
-def test_type_filter_reaches_parquet(spark, make, tmp_path):
+def test_filters_reach_parquet(spark, make, tmp_path, capsys):
     path = str(tmp_path / "t")
     make(opened("/a")).write.parquet(path)
-    plan = find_events(spark.read.parquet(path), pred("type", "=", "fileopen"))
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(event_type,FileOpen)" in text
+    for where, pushed in [
+        (pred("type", "=", "fileopen"), "EqualNullSafe(event_type,FileOpen)"),
+        (pred("network.remote_port", ">", 443), "GreaterThan(data.payload.remote_port,443)"),
+    ]:
+        find_events(spark.read.parquet(path), where).explain("formatted")
+        assert pushed in capsys.readouterr().out

@@ -107,7 +107,7 @@ def test_memory_regions(spark):
         (4, 0, bytearray(b"MZ" + bytes(4094) + rnd.randbytes(9000)), "a.exe"),
         (5, 0, bytearray(b"MZ"), None), (6, 0, bytearray(b"\xe8\0\0\0\0\x5d" + bytes(90)), "a.dll"),
     ]
-    regions = spark.createDataFrame(rows, "pid long, base_address decimal(20,0), content binary, mapped_file string")
+    regions = spark.createDataFrame(rows, "pid long, base_address long, content binary, mapped_file string")
     got = {r.pid: (r.injection_type, r.confidence) for r in triage.memory_region_triage(regions).collect()}
     assert got == {
         1: ("ReflectiveDllInjection", 0.98), 2: ("UnbackedExecutableMemory", 0.95), 3: ("ModuleStomping", 0.92)

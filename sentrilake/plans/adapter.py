@@ -1,7 +1,7 @@
 """Behaviour events derived from the ``events`` test table.
 
-``FLAT_EVENTS_SQL`` runs unchanged in Spark and in DuckDB. The second step nests
-the flat columns into the event schema.
+``FLAT_EVENTS_SQL`` is understood by Spark and by DuckDB; Spark runs it in two
+steps. A third step nests the flat columns into the event schema.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from sentrilake.operators.ordering import deterministic_order
 from sentrilake.schema import ADDRESS, EVENTS, PAYLOAD, PROCESS_IDENTITY
 from sentrilake.session import cut
 
-FLAT_EVENTS_SQL = """
+_FLAT_SQL = """
 SELECT artifact_id, session_day, host_id, num_id, event_id, ts, k, event_type,
   100 + k % 10 AS pid,
   CASE WHEN k % 10 = 0 THEN NULL ELSE CAST(floor((k % 10) / 2.0) AS INT) + 100 END AS ppid,
@@ -59,7 +59,10 @@ SELECT artifact_id, session_day, host_id, num_id, event_id, ts, k, event_type,
   CASE WHEN k % 6 = 0 THEN md5(CAST(num_id - 1 AS VARCHAR(20))) END AS parent_event_id,
   CASE WHEN k % 9 = 0 THEN md5(CAST(num_id - 2 AS VARCHAR(20))) END AS causal_parent_id,
   CASE WHEN k % 3 = 0 THEN NULL ELSE concat('user', CAST(k % 5 AS VARCHAR(8))) END AS user_name
-FROM (
+FROM {base}
+"""
+# The base columns: keys and the derived event type.
+_BASE_SQL = """
   SELECT artifact_id, session_day, host_id, num_id, event_id, ts, k,
     CASE WHEN k % 3 = 0 THEN (k % 2) * 5 ELSE (k + 5) % 10 END AS child,
     CASE kind
@@ -82,19 +85,30 @@ FROM (
       CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k
     FROM {table}
   ) a
-) b
 """
+FLAT_EVENTS_SQL = _FLAT_SQL.replace("{base}", f"({_BASE_SQL}) b")
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     # Event times of the tables have no zone; they are read as UTC.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    # A small table is one file and would be one task. Larger tables have enough
+    # splits of their own and are not shuffled.
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def flat_events(raw: DataFrame) -> DataFrame:
-    """The flat form of a batch or stream of raw rows."""
-    return raw.sparkSession.sql(FLAT_EVENTS_SQL.format(table="{raw}"), raw=raw)
+    """The flat form of raw rows.
+
+    The base columns pass a generator, so Spark computes the event type once per
+    row instead of repeating its expression in every derived column.
+    """
+    spark = raw.sparkSession
+    base = spark.sql(_BASE_SQL.format(table="{raw}"), raw=raw)
+    base = base.select(F.inline(F.array(F.struct("*"))))
+    return spark.sql(_FLAT_SQL, base=base)
 
 
 def _nest(kind, values: dict[str, Column]) -> Column:

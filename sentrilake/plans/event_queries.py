@@ -773,7 +773,9 @@ FROM ev GROUP BY ALL"""),
     ),
     # ---- windows
     "deterministic_order": Query(
-        lambda s, d: ordered_events(s, d).select("artifact_id", "event_id", "ord"),
+        lambda s, d: ordering.deterministic_order(
+            session_events(s, d).select("artifact_id", *ordering.TIME_ORDER)
+        ).select("artifact_id", "event_id", "ord"),
         with_events("SELECT artifact_id, event_id, ord FROM ev"),
     ),
     "timeline": Query(

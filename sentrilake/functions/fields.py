@@ -24,7 +24,7 @@ def pid() -> Column:
 
 def canonical_process_name(path: Column) -> Column:
     """Text after the last slash or backslash; ``unknown`` for an empty path."""
-    tail = F.regexp_extract(path, r"([^/\\]+)$", 1)
+    tail = F.substring_index(F.translate(path, "\\", "/"), "/", -1)
     return F.when(path == "", F.lit("unknown")).when(tail == "", path).otherwise(tail)
 
 

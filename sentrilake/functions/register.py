@@ -8,10 +8,8 @@ _COSINE = (
     "CASE WHEN size(a) <> size(b) THEN 0D ELSE least(1D, greatest(0D, aggregate("
     "zip_with(a, b, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, v) -> s + v))) END"
 )
-_NAME = (
-    r"CASE WHEN p = '' THEN 'unknown' WHEN regexp_extract(p, '([^/\\\\]+)$', 1) = '' THEN p "
-    r"ELSE regexp_extract(p, '([^/\\\\]+)$', 1) END"
-)
+_TAIL = r"substring_index(translate(p, '\\', '/'), '/', -1)"
+_NAME = f"CASE WHEN p = '' THEN 'unknown' WHEN {_TAIL} = '' THEN p ELSE {_TAIL} END"
 
 
 def register_functions(spark: SparkSession) -> None:

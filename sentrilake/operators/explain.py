@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrilake.functions.fields import process_name
 from sentrilake.functions.ruletext import sigma_rule, yara_rule
-from sentrilake.operators.detect import fired_rules, criterion_matches
+from sentrilake.operators.detect import scan
 from sentrilake.sources.rules import Rule
 
 KEY = "artifact_id"
@@ -15,13 +15,8 @@ KEY = "artifact_id"
 
 def explain_incidents(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """Summary, observations, actions and rule texts, one row per session."""
-    criteria = [c for rule in rules for c in rule.criteria]
-    scanned = events.groupBy(KEY).agg(
-        F.count("*").alias("events"),
-        F.min_by(process_name(), F.col("seq")).alias("root_process"),
-        F.array(*[F.count_if(criterion_matches(c)) for c in criteria]).alias("counts"),
-    )
-    scanned = scanned.withColumn("alerts", fired_rules(rules)).withColumn(
+    root = F.min_by(process_name(), F.col("seq")).alias("root_process")
+    scanned = scan(events, rules, [KEY], [root]).withColumn(
         "risk_score",
         F.least(F.lit(100), F.aggregate("alerts", F.lit(0), lambda s, a: s + a["score"])),
     )
@@ -58,7 +53,7 @@ def explain_incidents(events: DataFrame, rules: list[Rule]) -> DataFrame:
         F.transform("alerts", lambda a: a["remediation"]), lambda text: text != ""
     )
     summary = F.concat(
-        F.lit("Process '"), root, F.lit("' generated "), F.col("events").cast("string"),
+        F.lit("Process '"), root, F.lit("' generated "), F.col("total_events").cast("string"),
         F.lit(" events. The risk score is "), risk.cast("string"), F.lit("/100 with "),
         F.size("alerts").cast("string"), F.lit(" triggered rules."),
     )

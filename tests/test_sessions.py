@@ -128,3 +128,10 @@ def test_event_hash_is_stable(make):
     assert first == second and len(first) == 64
     other = make(crypto(id="00000000-0000-0000-0000-000000000000"))
     assert other.select(event_hash()).first()[0] != first
+
+
+def test_unreadable_parquet_is_skipped(spark, make, tmp_path):
+    path = tmp_path / "c"
+    make(opened("/a"), opened("/b")).write.parquet(str(path))
+    (path / "part-broken.parquet").write_bytes(b"not a parquet file")
+    assert read_corpus(spark, str(path)).count() == 2

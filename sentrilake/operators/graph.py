@@ -208,42 +208,45 @@ def memberships(events: DataFrame) -> DataFrame:
 def graph_counts(events: DataFrame, size: int = BUCKET) -> DataFrame:
     """Nodes and edges per session, dangling edges included.
 
-    Edges of a pairing group are counted, not listed: a bucket of positions adds
-    its own pairs plus (targets here) x (sources in earlier buckets).
+    Edges of a group are counted, not listed. Members are first counted per
+    bucket of positions. A chain then has one edge less than members. A pairing
+    group has (targets of a bucket) x (sources of earlier buckets) edges, plus
+    the pairs inside each bucket.
     """
-    nodes = events.groupBy(KEY).agg(F.count("*").alias("nodes"))
-    explicit = explicit_edges(events).groupBy(KEY).agg(F.count("*").alias("n"))
-    members = memberships(events)
+    links = F.col("parent_event_id").isNotNull().cast("long") + F.coalesce(
+        F.size("causal_parent_ids"), F.lit(0)
+    )
+    base = events.groupBy(KEY).agg(F.count("*").alias("nodes"), F.sum(links).alias("n"))
     group = [KEY, "kind", "name"]
-    chains = (
-        members.filter(F.col("kind").isin("TEMPORAL", "RESOURCE"))
-        .groupBy(*group)
-        .agg((F.count("*") - 1).alias("n"))
+    is_src, is_dst = F.col("is_src").cast("long"), F.col("is_dst").cast("long")
+    members = memberships(events).withColumn("_b", bucket_of(F.col("pos"), size))
+    totals = members.groupBy(*group, "_b").agg(
+        F.count("*").alias("m"), F.sum(is_src).alias("s"), F.sum(is_dst).alias("d")
     )
-    paired = members.filter(F.col("kind").isin("DNS", "LINEAGE")).withColumn(
-        "_b", bucket_of(F.col("pos"), size)
+    by_bucket = W.partitionBy(*group).orderBy("_b")
+    earlier = F.coalesce(F.sum("s").over(by_bucket.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = (F.row_number().over(by_bucket) == 1).cast("long")
+    # Lineage uses the positions 0 and 1 only, so its groups have one bucket.
+    per_bucket = (
+        F.when(F.col("kind").isin("TEMPORAL", "RESOURCE"), F.col("m") - first)
+        .when(F.col("kind") == "LINEAGE", F.col("s") * F.col("d"))
+        .otherwise(F.col("d") * earlier)
     )
-    inner = (
-        W.partitionBy(*group, "_b").orderBy("pos").rangeBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy(*group, "_b").orderBy("pos").rangeBetween(W.unboundedPreceding, -1)
+    inside = (
+        members.filter(F.col("kind") == "DNS")
+        .withColumn("n", F.coalesce(F.sum(is_src).over(inner), F.lit(0)))
+        .filter("is_dst")
     )
-    is_src, is_dst = F.col("is_src").cast("long"), F.col("is_dst").cast("long")
-    # Lineage positions are 0 and 1 only, so that kind takes the product directly.
-    dns = paired.filter(F.col("kind") == "DNS")
-    inside = dns.withColumn("n", F.coalesce(F.sum(is_src).over(inner), F.lit(0))).filter("is_dst")
-    totals = dns.groupBy(*group, "_b").agg(F.sum(is_src).alias("s"), F.sum(is_dst).alias("d"))
-    earlier = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    across = totals.withColumn("n", F.col("d") * F.coalesce(F.sum("s").over(earlier), F.lit(0)))
-    lineage = (
-        paired.filter(F.col("kind") == "LINEAGE")
-        .groupBy(*group)
-        .agg((F.sum(is_src) * F.sum(is_dst)).alias("n"))
+    edges = (
+        totals.withColumn("n", per_bucket)
+        .select(KEY, "n")
+        .unionByName(inside.select(KEY, "n"))
+        .groupBy(KEY)
+        .agg(F.sum("n").alias("inferred"))
     )
-    edges = explicit
-    for part in (chains, inside, across, lineage):
-        edges = edges.unionByName(part.select(KEY, "n"))
-    edges = edges.groupBy(KEY).agg(F.sum("n").alias("edges"))
-    return nodes.join(edges, KEY, "left").select(
-        KEY, "nodes", F.coalesce("edges", F.lit(0)).cast("long").alias("edges")
+    return base.join(edges, KEY, "left").select(
+        KEY, "nodes", (F.col("n") + F.coalesce("inferred", F.lit(0))).cast("long").alias("edges")
     )
 
 

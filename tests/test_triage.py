@@ -184,3 +184,45 @@ def test_xor_strings(spark):
     got = sorted((r.path, r.offset, r.value, r.method) for r in rows)
     assert got == sorted((f"f{i}", *hit) for i, c in enumerate(cases) for hit in scan_xor(c))
     assert len(got) >= 3
+
+
+def parse_sections(data):
+    """Plain walk over the section headers; None if the bytes are not a PE file."""
+    if len(data) < 64 or data[:2] != b"MZ":
+        return None
+    at = struct.unpack_from("<I", data, 0x3C)[0]
+    if len(data) < at + 24 or data[at : at + 4] != b"PE\0\0":
+        return None
+    count, opt = struct.unpack_from("<H", data, at + 6)[0], struct.unpack_from("<H", data, at + 20)[0]
+    out = []
+    for i in range(count):
+        head = at + 24 + opt + 40 * i
+        if len(data) < head + 40:
+            break
+        size, start = struct.unpack_from("<II", data, head + 16)
+        body = data[start : start + size] if start + size <= len(data) else b""
+        out.append((i, size, start, round(entropy(body), 6)))
+    return out
+
+
+def test_damaged_pe_files(spark):
+    rnd = random.Random(6)
+    good = pe([(b".text", b"abc" * 50, 0x60000020), (b".data", rnd.randbytes(300), 0xC0000040)], bytes(50))
+    cases = [good[:n] for n in (0, 1, 63, 64, 100, 130, 160, 200, 400, len(good) - 60)]
+    cases.append(b"MZ" + bytes(58) + b"\xff" * 8 + bytes(100))
+    cases.append(b"MZ" + bytes(58) + struct.pack("<I", 2**31 - 1) + bytes(100))
+    for _ in range(60):
+        broken = bytearray(good)
+        for _ in range(rnd.randrange(1, 12)):
+            broken[rnd.choice([rnd.randrange(len(good)), rnd.randrange(128, 520)])] = rnd.choice([0, 1, 255, rnd.randrange(256)])
+        cases.append(bytes(broken))
+    table = files(spark, *cases)
+    got = {}
+    for r in triage.pe_sections(table).collect():
+        got.setdefault(r.path, []).append((r.section_index, r.raw_data_size, r.raw_data_ptr, round(r.entropy, 6)))
+    want = {f"f{i}": parse_sections(c) for i, c in enumerate(cases)}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    kinds = {r.path: r.format for r in triage.binary_triage(table).collect()}
+    assert kinds == {k: "PE" if v is not None else "unknown" for k, v in want.items()}
+    triage.pe_headers(table).collect()
+    triage.pe_data_directories(table).collect()

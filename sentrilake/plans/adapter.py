@@ -89,9 +89,13 @@ _BASE_SQL = """
 FLAT_EVENTS_SQL = _FLAT_SQL.replace("{base}", f"({_BASE_SQL}) b")
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    # Event times of the tables have no zone; they are read as UTC.
+def use_utc(spark: SparkSession) -> None:
+    """Event times of the tables have no zone; they are read and shown as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    use_utc(spark)
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     # A small table is one file and would be one task. Larger tables have enough
     # splits of their own and are not shuffled.
@@ -222,6 +226,7 @@ def stored(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], Data
     This is the ingest step: the queries then read typed Parquet, where filters
     and field selection reach the files.
     """
+    use_utc(spark)
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _TABLES:
         _TABLES[key] = cut(build())

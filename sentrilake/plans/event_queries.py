@@ -17,7 +17,6 @@ from sentrilake.operators.sequence import match_sequence
 from sentrilake.plans.adapter import (
     daily_events,
     load,
-    ordered_events,
     session_events,
 )
 from sentrilake.plans.query import RESULT_ROW, SUMMARY, Query, with_events
@@ -425,7 +424,7 @@ def _sarif(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stix(spark: SparkSession, d: str) -> DataFrame:
-    docs = sinks.to_stix(ordered_events(spark, d), per_bundle=25)
+    docs = sinks.to_stix(session_events(spark, d), per_bundle=25)
     objects = F.from_json(
         F.get_json_object("bundle", "$.objects[0].objects"),
         "map<string,struct<type:string,pid:bigint,name:string,command_line:string>>",
@@ -674,9 +673,14 @@ FROM ev WHERE {_PRIVACY_RANK} <= 2"""),
     ),
     "stix_export": Query(
         _stix,
-        with_events(f"""SELECT artifact_id, ord // 25 AS part,
-  count(*) OVER (PARTITION BY artifact_id, ord // 25) AS observed, ord AS position, pid,
-  process_name AS name, process_path AS command_line FROM ev WHERE {_PRIVACY_RANK} <= 2"""),
+        with_events(
+            """SELECT artifact_id, p // 25 AS part,
+  count(*) OVER (PARTITION BY artifact_id, p // 25) AS observed, p AS position, pid,
+  process_name AS name, process_path AS command_line FROM kept""",
+            more=f"""kept AS (SELECT *,
+  row_number() OVER (PARTITION BY artifact_id ORDER BY num_id) - 1 AS p
+  FROM ev WHERE {_PRIVACY_RANK} <= 2)""",
+        ),
     ),
     "sarif_export": Query(
         _sarif,

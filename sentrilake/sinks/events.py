@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sentrilake.functions.fields import JSON_OPTIONS, pid, process_name, sarif_level
 from sentrilake.functions.ruletext import uuid_text
 from sentrilake.operators.detect import scan
-from sentrilake.operators.ordering import first_per_session
+from sentrilake.operators.ordering import bucket_of, dense_position, first_per_session
 from sentrilake.operators.privacy import sanitize_events
 from sentrilake.sources.rules import Rule
 
@@ -38,18 +38,18 @@ def write_csv(events: DataFrame, path: str, mode: str = "errorifexists") -> None
     csv_rows(events).write.mode(mode).option("header", True).csv(path)
 
 
-def to_stix(events: DataFrame, position: str = "ord", per_bundle: int = 10_000) -> DataFrame:
+def to_stix(events: DataFrame, per_bundle: int = 10_000) -> DataFrame:
     """STIX bundles: (session, part, bundle JSON).
 
-    ``position`` numbers the events of a session densely. A session of up to
-    ``per_bundle`` events is one bundle; a larger one is a series of bundles, so
-    no task builds a document of unbounded size. Object keys keep counting
-    across parts. Ids and times come from the data and do not change on a rerun.
+    The sanitized events of a session are numbered in session order. Up to
+    ``per_bundle`` of them are one bundle; a larger session is a series of
+    bundles, so no task builds a document of unbounded size. Object keys keep
+    counting across parts. Ids and times come from the data and do not change on
+    a rerun.
     """
-    clean = sanitize_events(events).select(
+    objects_of = sanitize_events(events).select(
         KEY,
-        F.floor(F.col(position) / per_bundle).cast("long").alias("part"),
-        F.col(position).alias("_pos"),
+        "seq",
         "timestamp_wall",
         F.struct(
             F.lit("process").alias("type"),
@@ -58,6 +58,9 @@ def to_stix(events: DataFrame, position: str = "ord", per_bundle: int = 10_000)
             F.col("process_identity.executable_path").alias("command_line"),
         ).alias("_sco"),
     )
+    clean = dense_position(objects_of, [KEY], ["seq"], "_pos").withColumn(
+        "part", bucket_of(F.col("_pos"), per_bundle)
+    )
     objects = F.map_from_entries(
         F.transform(
             F.array_sort(F.collect_list(F.struct("_pos", "_sco"))),

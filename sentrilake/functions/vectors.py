@@ -11,14 +11,6 @@ def dot(left: Column, right: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def l2_normalize(vector: Column) -> Column:
-    """Scale to length one; an all-zero vector stays as it is."""
-    norm = F.sqrt(dot(vector, vector))
-    return F.transform(
-        vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double"))
-    )
-
-
 def cosine_similarity(left: Column, right: Column) -> Column:
     """Dot product of unit vectors, clamped to [0, 1]; 0 if the lengths differ."""
     clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(left, right)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrilake.functions.fields import process_name
 from sentrilake.functions.ruletext import sigma_rule, yara_rule
-from sentrilake.operators.detect import scan
+from sentrilake.operators.detect import risk_score, scan
 from sentrilake.sources.rules import Rule
 
 KEY = "artifact_id"
@@ -16,10 +16,7 @@ KEY = "artifact_id"
 def explain_incidents(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """Summary, observations, actions and rule texts, one row per session."""
     root = F.min_by(process_name(), F.col("seq")).alias("root_process")
-    scanned = scan(events, rules, [KEY], [root]).withColumn(
-        "risk_score",
-        F.least(F.lit(100), F.aggregate("alerts", F.lit(0), lambda s, a: s + a["score"])),
-    )
+    scanned = scan(events, rules, [KEY], [root]).withColumn("risk_score", risk_score())
     risk, root = F.col("risk_score"), F.col("root_process")
     score = F.concat(F.lit(" (risk score "), risk.cast("string"), F.lit("/100)."))
     tier = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sentrilake.functions.fields import JSON_OPTIONS
 from sentrilake.functions.predicates import pred
-from sentrilake.plans.adapter import load, session_events
+from sentrilake.plans.adapter import session_events
 from sentrilake.plans.event_queries import _FLEET_SQL, _node_events, fleet_columns
 from sentrilake.plans.query import EV, RESULT_ROW, Query, with_events
 from sentrilake.session import shared_path

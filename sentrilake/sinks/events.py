@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrilake.functions.fields import JSON_OPTIONS, pid, process_name, sarif_level
 from sentrilake.functions.ruletext import uuid_text
-from sentrilake.operators.detect import scan
+from sentrilake.operators.detect import risk_score, scan
 from sentrilake.operators.ordering import bucket_of, dense_position, first_per_session
 from sentrilake.operators.privacy import sanitize_events
 from sentrilake.sources.rules import Rule
@@ -136,7 +136,6 @@ def incident_context(events: DataFrame, rules: list[Rule], sample: int = 50) ->
     """One Markdown text per session: facts, alerts and its first events."""
     clean = sanitize_events(events)
     scanned = scan(clean, rules)
-    risk = F.least(F.lit(100), F.aggregate("alerts", F.lit(0), lambda s, a: s + a["score"]))
     first = (
         first_per_session(clean, sample)
         .select(
@@ -162,7 +161,7 @@ def incident_context(events: DataFrame, rules: list[Rule], sample: int = 50) ->
     text = F.concat(
         F.lit("# Incident context\n\n## Session\n- session: `"), F.col(KEY),
         F.lit("`\n- events: "), F.col("total_events").cast("string"),
-        F.lit("\n- risk score: "), risk.cast("string"),
+        F.lit("\n- risk score: "), risk_score().cast("string"),
         F.lit("/100\n- alerts: "), F.size("alerts").cast("string"),
         F.lit("\n\n## Alerts\n"),
         F.when(F.size("alerts") == 0, F.lit("- none")).otherwise(F.array_join(lines, "\n")),

@@ -27,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrilake.llm.components import connected_components
@@ -172,12 +172,15 @@ def count_sketch(docs: DataFrame, bits: int = SKETCH_BITS, words: int = WORDS) -
 
 def choose_boundary(sample: DataFrame) -> int:
     """The boundary with the least cost, from the sampled hashes of sets below 256. A list costs a row per
-    hash and the pairs it makes, by the mean list length of the rarer hashes of sets of that size;
+    hash and the pairs it makes, by the mean list length of the rarer half of the hashes of sets of that size;
     subsets cost a row each, since sets that share one are mostly similar."""
     lists = sample.groupBy("token").agg(F.count("*").alias("length")).withColumnRenamed("token", "list_token")
-    rows = sample.join(lists, F.col("token") == F.col("list_token")).withColumn("class", F.log2("n").cast("int"))
-    per_class = rows.groupBy("class").agg(F.percentile_approx("length", 0.25).alias("rare"))
-    rare = rows.join(per_class, "class").where("length <= rare").groupBy("class").agg(F.avg("length").alias("length"))
+    rows = sample.join(lists, F.col("token") == F.col("list_token"))
+    lengths = rows.groupBy(F.log2("n").cast("int").alias("class"), "length").agg(F.count("*").alias("k"))
+    upto = Window.partitionBy("class").orderBy("length").rowsBetween(Window.unboundedPreceding, -1)
+    all_k = F.sum("k").over(Window.partitionBy("class"))
+    rare = lengths.where("k > 0").withColumn("share", F.coalesce(F.sum("k").over(upto), F.lit(0)) / all_k).where("share <= 0.5")
+    rare = rare.groupBy("class").agg((F.sum(F.col("length") * F.col("k")) / F.sum("k")).alias("length"))
     length = dict(rare.collect())  # one row per power of two below 256
     number = {n: k / n for n, k in sample.groupBy("n").count().collect()}  # at most 255 rows
     cost_list, cost_subset = np.zeros(_LARGEST_SMALL + 1), np.zeros(_LARGEST_SMALL + 1)
@@ -186,8 +189,8 @@ def choose_boundary(sample: DataFrame) -> int:
         cost_list[n] = number.get(n, 0) * prefix_lengths(n)[0] * (1 + _PAIR_COST * (per_list - 1))
         cost_subset[n] = number.get(n, 0) * math.comb(min(n, prefix_lengths(n, SUBSET)[0]), SUBSET)
     total = np.cumsum(cost_subset) - cost_subset + (cost_list.sum() - np.cumsum(cost_list) + cost_list)
-    # Below 4 hashes only equal sets are similar; ties go to the lists.
-    return 4 + int(np.argmin(total[4:_LARGEST_SMALL]))
+    # Below 4 hashes only equal sets are similar; ties go to the subsets.
+    return _LARGEST_SMALL - 1 - int(np.argmin(total[4:_LARGEST_SMALL][::-1]))
 
 
 def encode_sets(docs: DataFrame, sketch: np.ndarray, boundary: int, words: int = WORDS) -> DataFrame:
@@ -258,13 +261,18 @@ def _with_components(lists: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(open_, F.col("bucket") == F.col("open")).drop("open")
 
 
-def _rest_pairs(lists: DataFrame, comps: DataFrame) -> DataFrame:
-    """All pairs of a list whose members are not known to be connected."""
-    rows = cut(_with_components(lists, comps))
+def _rest_pairs(lists: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs of a list whose members are not known to be connected. The parity maps are part of the
+    join, so that it gives out only pairs that may be links."""
+    maps = nodes.select(F.col("node").alias("member"), *[F.col("map")[i].alias(f"m{i}") for i in range(_MAP_BITS // 64)])
+    rows = _with_components(lists, comps)
+    rows = cut(rows.join(maps, F.col("node") == F.col("member")).drop("member"))
     left = rows.where("short").select(*[F.col(c).alias(f"l_{c}") for c in rows.columns])
     smaller = (F.col("l_n") < F.col("n")) | ((F.col("l_n") == F.col("n")) & (F.col("l_node") != F.col("node")))
+    apart = sum(F.bit_count(F.col(f"l_m{i}").bitwiseXOR(F.col(f"m{i}"))) for i in range(_MAP_BITS // 64))
+    common = F.floor((F.col("l_n") + F.col("n") - apart) / 2)
     met = left.join(rows, (F.col("l_bucket") == F.col("bucket")) & (F.col("l_component") != F.col("component"))
-                    & smaller & _may_link(F.col("l_n"), F.col("n")))
+                    & smaller & _may_link(F.col("l_n"), F.col("n")) & _similar(F.col("l_n"), F.col("n"), common))
     return _ordered(met.select(F.col("l_node").alias("a"), F.col("node").alias("b")))
 
 
@@ -347,7 +355,7 @@ def join_documents(docs: DataFrame, words: int = WORDS, sketch_bits: int = SKETC
     links = _verify(docs, nodes, _hub_pairs(lists, None, 1), words)
     for step in (4, None):
         comps = connected_components(links)
-        pairs = _rest_pairs(lists, comps) if step is None else _hub_pairs(lists, comps, step)
+        pairs = _rest_pairs(lists, comps, nodes) if step is None else _hub_pairs(lists, comps, step)
         links = links.unionByName(_verify(docs, nodes, pairs, words))
     comps = connected_components(links)
     # Components are named by nodes so far; their name is the smallest doc_id of any member.

@@ -145,16 +145,37 @@ def result_row() -> list[Column]:
     ]
 
 
+_DAY_MICROS = 86_400_000_000
+
+
+def utc_day(ts: Column) -> Column:
+    """Date in UTC, whatever the session's time zone."""
+    day = F.floor(F.unix_micros(ts) / _DAY_MICROS).cast("int")
+    return F.date_add(F.lit("1970-01-01").cast("date"), day)
+
+
+def utc_clock(ts: Column) -> Column:
+    """Time of day in UTC as ``hh:mm:ss``."""
+    second = F.floor(F.pmod(F.unix_micros(ts), F.lit(_DAY_MICROS)) / 1_000_000).cast("int")
+    return F.format_string("%02d:%02d:%02d", F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)
+
+
+def utc_instant(ts: Column) -> Column:
+    """``yyyy-mm-ddThh:mm:ss.ffffffZ``."""
+    micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
+    return F.concat(utc_day(ts).cast("string"), F.lit("T"), utc_clock(ts), F.format_string(".%06dZ", micros))
+
+
 def wall_text() -> Column:
-    """Wall time as ``yyyy-mm-dd hh:mm:ss[.fraction] UTC``; needs a UTC session."""
+    """Wall time as ``yyyy-mm-dd hh:mm:ss[.fraction] UTC``."""
     ts = F.col("timestamp_wall")
     micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
-    shape = (
-        F.when(micros == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
-        .when(micros % 1000 == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS"))
-        .otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    fraction = (
+        F.when(micros == 0, "")
+        .when(micros % 1000 == 0, F.format_string(".%03d", (micros / 1000).cast("int")))
+        .otherwise(F.format_string(".%06d", micros))
     )
-    return F.concat(shape, F.lit(" UTC"))
+    return F.concat(utc_day(ts).cast("string"), F.lit(" "), utc_clock(ts), fraction, F.lit(" UTC"))
 
 
 def privacy_rank(level: Column) -> Column:

@@ -85,7 +85,6 @@ _FILTERS = {
         "AND lower(path) LIKE '%sam%'",
     ),
     "find_confidence": (lambda: pred("confidence", "=", "High"), "confidence = 'HIGH'"),
-    "find_confidence_order": (lambda: pred("confidence", ">=", 0.9), "false"),
     "find_privacy": (lambda: pred("privacy", "!=", "public"), "privacy <> 'PUBLIC'"),
     "find_unknown_field": (
         lambda: pred("no.such.field", "=", 1) | pred("pid", "=", 100), "pid = 100"
@@ -846,9 +845,9 @@ LEFT JOIN (SELECT artifact_id, count(*) AS n FROM new_b GROUP BY 1) USING (artif
         with_events(
             """SELECT artifact_id, process_name, behavior_type, target_resource, secondary_attribute,
   'process ' || process_name || CASE behavior_type
-    WHEN 'NetworkConnect' THEN ' established new external network destination: '
-    WHEN 'ProcessSpawn' THEN ' spawned unexpected child process: '
-    ELSE ' invoked new cryptographic algorithm: ' END || target_resource AS divergence
+    WHEN 'NetworkConnect' THEN ' connects to an outside address not seen before: '
+    WHEN 'ProcessSpawn' THEN ' starts a program not seen before: '
+    ELSE ' uses an algorithm not seen before: ' END || target_resource AS divergence
 FROM added WHERE behavior_type IN ('NetworkConnect', 'ProcessSpawn', 'CryptoOperation')""",
             more=_BEHAVIOR_SQL,
         ),
@@ -975,8 +974,8 @@ SEMI JOIN fired USING (artifact_id, rule_id)""",
     "rwx_memory_alerts": Query(
         lambda s, d: detect.rwx_memory_alerts(session_events(s, d)),
         with_events("""SELECT artifact_id, event_id, process_name, pid,
-  'Direct Syscall / Unbacked Memory Stager' AS suspected_technique, 'T1106 / T1055' AS mitre_id,
-  'Process ''' || process_name || ''' modified memory permissions to executable RWX: addr=0x'
+  'Code prepared in changed memory' AS suspected_technique, 'T1106 / T1055' AS mitre_id,
+  'Process ''' || process_name || ''' made memory writable and executable: addr=0x'
     || printf('%X', address) || ' size=4096' AS description
 FROM ev WHERE new_permissions = 'PAGE_EXECUTE_READWRITE'"""),
     ),
@@ -1002,11 +1001,11 @@ FROM ev WHERE new_permissions = 'PAGE_EXECUTE_READWRITE'"""),
     || risk_score || '/100 with ' || alert_count || ' triggered rules.' AS summary,
   1 + 2 * alert_count AS observations,
   CASE WHEN risk_score >= 75 THEN 2 ELSE 1 END + alert_count AS actions,
-  md5('rule Session_AutoRule_' || substr(r.artifact_id, 1, 8) || ' {' || chr(10)
-    || '  meta:' || chr(10) || '    artifact = "' || r.artifact_id || '"' || chr(10)
-    || '    risk_score = ' || risk_score || chr(10) || '  strings:' || chr(10)
-    || '    $proc = "' || root_process || '"' || chr(10) || '  condition:' || chr(10)
-    || '    any of them' || chr(10) || '}') AS yara_md5,
+  md5('rule sentrilake_session_' || substr(r.artifact_id, 1, 8) || chr(10) || '{' || chr(10)
+    || '  meta:' || chr(10) || '    session = "' || r.artifact_id || '"' || chr(10)
+    || '    risk = ' || risk_score || chr(10) || '  strings:' || chr(10)
+    || '    $root_program = "' || root_process || '"' || chr(10) || '  condition:' || chr(10)
+    || '    $root_program' || chr(10) || '}') AS yara_md5,
   CASE WHEN risk_score >= 75 THEN 'critical' ELSE 'high' END || chr(10) AS sigma_level
 FROM risk r JOIN (SELECT artifact_id, arg_min(process_name, num_id) AS root_process FROM ev
   GROUP BY 1) USING (artifact_id)""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrilake.functions.fields import JSON_OPTIONS, pid, process_name, sarif_level
+from sentrilake.functions.fields import JSON_OPTIONS, pid, process_name, sarif_level, utc_instant
 from sentrilake.functions.ruletext import uuid_text
 from sentrilake.operators.detect import risk_score, scan
 from sentrilake.operators.ordering import bucket_of, dense_position, first_per_session
@@ -73,7 +73,7 @@ def to_stix(events: DataFrame, per_bundle: int = 10_000) -> DataFrame:
         return F.concat(F.lit(f"{kind}--"), uuid_text(digest))
 
     def when(name: str):
-        return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        return utc_instant(F.col(name))
 
     grouped = clean.groupBy(KEY, "part").agg(
         F.min("timestamp_wall").alias("_first"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sentrilake.functions.fields import utc_day
 from sentrilake.operators.ordering import deterministic_order
 from sentrilake.schema import EVENTS, RECORD
 
@@ -83,7 +84,7 @@ def write_events(events: DataFrame, path: str, mode: str = "errorifexists") -> N
     files and keeps the neighbours of an event together.
     """
     (
-        events.withColumn("event_day", F.to_date("timestamp_wall"))
+        events.withColumn("event_day", utc_day(F.col("timestamp_wall")))
         .repartitionByRange("event_day", "artifact_id", "seq")
         .sortWithinPartitions("event_day", "artifact_id", "seq")
         .write.mode(mode)

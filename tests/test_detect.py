@@ -74,7 +74,7 @@ def test_beacon(make):
     row = beacon.beacon_profiles(make(*[connect("192.168.1.100", at=10 * i) for i in range(5)])).first()
     assert row.is_beaconing and abs(row.mean_interval_seconds - 10) < 0.1 and row.jitter_percentage < 5
     assert row.target == "192.168.1.100:443" and row.sample_count == 5
-    assert "seconds 50" in row.suricata_rule and "Jitter 0.0%" in row.snort_rule
+    assert "seconds 50" in row.suricata_rule and "jitter 0.0 percent" in row.snort_rule
 
 
 def test_beacon_needs_gaps(make):

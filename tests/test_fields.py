@@ -155,3 +155,21 @@ def test_filters_reach_parquet(spark, make, tmp_path, capsys):
     ]:
         find_events(spark.read.parquet(path), where).explain("formatted")
         assert pushed in capsys.readouterr().out
+
+
+def test_times_do_not_follow_the_session_zone(spark, make):
+    events = make(connect(at=0.25), connect(at=-50_000))
+    texts = []
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            row = events.select(
+                F.collect_list(fields.wall_text()).alias("a"),
+                F.collect_list(fields.utc_instant(F.col("timestamp_wall"))).alias("b"),
+                F.collect_list(fields.utc_day(F.col("timestamp_wall"))).alias("c"),
+            ).first()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        texts.append(row)
+    assert texts[0] == texts[1]
+    assert "2024-05-01 12:00:00.250 UTC" in texts[0].a and "2024-04-30T22:06:40.000000Z" in texts[0].b

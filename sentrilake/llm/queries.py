@@ -81,4 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_warc_normaliser": """WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT body, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY body)
+SELECT page_id, n AS payload_bytes, sha256(p.body) AS payload_digest,
+  CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN g ON g.body = p.body AND p.n >= 100""",
+}

@@ -10,7 +10,7 @@ Sets that meet are candidates. Listing all pairs of a list would grow with the s
 group of near copies. So a list first compares its members with one of them, then with a few
 more, and after every step those that are known to be connected are not compared again; the
 rest is compared in full. No link between different components is lost. A candidate pair
-is first tested by an upper bound from 1024-bit parity maps, then exactly.
+is first tested by an upper bound from parity maps with at least a bit per hash, then exactly.
 
 Defined results: a null text and one without words have an empty set, are linked with nothing
 and are their own component; fewer words than a shingle are one shingle; repeated rows
@@ -39,6 +39,7 @@ PERCENT = 80
 SUBSET = 2
 SKETCH_BITS = 20
 _BLOCK = 1 << 14
+#: Parity maps have this many bits, or more for larger sets: a power of two not below the set size.
 _MAP_BITS = 1024
 _FILTER_BITS = 23
 #: Sets from this size on scan lists whatever the cost: their subsets are too many.
@@ -113,8 +114,10 @@ def keys_of(hashes: np.ndarray, sketch: np.ndarray, boundary: int) -> np.ndarray
 
 
 def parity_map(hashes: np.ndarray) -> np.ndarray:
-    """Bit i is the parity of the number of hashes that fall to it, as 16 longs."""
-    counts = np.bincount((hashes >> np.uint64(7)).astype(np.int64) % _MAP_BITS, minlength=_MAP_BITS)
+    """Bit i is the parity of the number of hashes that fall to it, as 16 longs or, for sets of more than
+    1024 hashes, 32, 64, ... The parts of a map, added bit by bit, are the map of fewer bits."""
+    bits = max(_MAP_BITS, 1 << (len(hashes) - 1).bit_length())
+    counts = np.bincount((hashes >> np.uint64(7)).astype(np.int64) % bits, minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -236,6 +239,15 @@ def _may_link(n: Column, m: Column) -> Column:
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
 
+def _folded(parity: Column, longs: Column) -> Column:
+    """A parity map as one of ``longs`` longs."""
+    def part(i: Column) -> Column:
+        places = F.sequence(i, F.size(parity) - 1, longs)
+        return F.aggregate(places, F.lit(0).cast("long"), lambda x, at: x.bitwiseXOR(F.get(parity, at)))
+
+    return F.when(F.size(parity) == longs, parity).otherwise(F.transform(F.sequence(F.lit(0), longs - 1), part))
+
+
 def _hub_pairs(lists: DataFrame, comps: DataFrame | None, hubs: int) -> DataFrame:
     """Members of every list paired with ``hubs`` of its members, the same ones in as many lists as
     possible. Members known to be connected are not paired, and lists of one component drop out."""
@@ -263,8 +275,10 @@ def _with_components(lists: DataFrame, comps: DataFrame) -> DataFrame:
 
 def _rest_pairs(lists: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
     """All pairs of a list whose members are not known to be connected. The parity maps are part of the
-    join, so that it gives out only pairs that may be links."""
-    maps = nodes.select(F.col("node").alias("member"), *[F.col("map")[i].alias(f"m{i}") for i in range(_MAP_BITS // 64)])
+    join, so that it gives out only pairs that may be links. Every list of a set carries its map, so large
+    sets take theirs folded to 1024 bits."""
+    folded = nodes.select(F.col("node").alias("member"), _folded(F.col("map"), F.lit(_MAP_BITS // 64)).alias("map"))
+    maps = folded.select("member", *[F.col("map")[i].alias(f"m{i}") for i in range(_MAP_BITS // 64)])
     rows = _with_components(lists, comps)
     rows = cut(rows.join(maps, F.col("node") == F.col("member")).drop("member"))
     left = rows.where("short").select(*[F.col(c).alias(f"l_{c}") for c in rows.columns])
@@ -284,8 +298,9 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs that the parity maps allow: the sets differ in at least as many hashes as bits differ."""
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("map").alias("a_map"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("map").alias("b_map"))
-    joined = pairs.join(a, "a").join(b, "b")
-    apart = F.aggregate(F.zip_with("a_map", "b_map", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    joined = pairs.join(a, "a").join(b, "b").withColumn("longs", F.least(F.size("a_map"), F.size("b_map")))
+    a_map, b_map = _folded(F.col("a_map"), F.col("longs")), _folded(F.col("b_map"), F.col("longs"))
+    apart = F.aggregate(F.zip_with(a_map, b_map, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     common = F.floor((F.col("a_n") + F.col("b_n") - apart) / 2)
     return joined.where(_similar(F.col("a_n"), F.col("b_n"), common)).select("a", "b", "a_n", "b_n")
 

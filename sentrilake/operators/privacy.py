@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrilake.functions.fields import drop_sensitive_env_keys, payload, privacy_rank
 from sentrilake.schema import PRIVACY_LEVELS
 
 
+def is_allowed(allowed: str = "INTERNAL") -> Column:
+    """Whether an event may leave at this privacy level."""
+    return privacy_rank(F.col("privacy")) <= PRIVACY_LEVELS.index(allowed) + 1
+
+
 def sanitize_events(
     events: DataFrame,
     allowed: str = "INTERNAL",
@@ -20,7 +25,7 @@ def sanitize_events(
     Names of credential-like environment variables go from process starts, and
     content hashes of sensitive file writes are replaced even if they were null.
     """
-    kept = events.filter(privacy_rank(F.col("privacy")) <= PRIVACY_LEVELS.index(allowed) + 1)
+    kept = events.filter(is_allowed(allowed))
     kind = F.col("event_type")
     keys = F.when(
         kind == "ProcessStart", drop_sensitive_env_keys(payload("environment_keys"))

@@ -79,17 +79,23 @@ def _histogram(chunks: pd.Series) -> pd.Series:
     )
 
 
+# So marked, filters on the result are not pushed below the call, which would run it twice.
+_histogram = _histogram.asNondeterministic()
+
+
 def byte_entropy(rows: DataFrame, keys: Sequence[str] = ("path",), content: str = "content") -> DataFrame:
     """Shannon entropy in bits per byte, 0 for empty content; packed from 7.2 on.
 
     Content is cut into chunks, so a large file is counted chunk by chunk, and
-    the byte counts are summed per key.
+    the byte counts are summed per key. It is cut before the rows are made, so that a
+    row holds its chunk alone.
     """
     last = F.greatest(F.ceil(F.octet_length(content) / CHUNK).cast("int") - 1, F.lit(0))
-    chunks = rows.select(
-        *keys, content, F.explode(F.sequence(F.lit(0), last)).alias("_chunk")
-    ).select(
-        *keys, _histogram(F.substr(content, F.col("_chunk") * CHUNK + 1, F.lit(CHUNK))).alias("_h")
+    slices = F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.substr(content, i * CHUNK + 1, F.lit(CHUNK))
+    )
+    chunks = rows.select(*keys, F.explode(slices).alias("_chunk")).select(
+        *keys, _histogram("_chunk").alias("_h")
     )
     counts = (
         chunks.select(*keys, F.posexplode("_h").alias("_byte", "_n"))
@@ -401,13 +407,13 @@ def indicator_strings(
 def _matches(files: DataFrame, pattern: str, group: int = 0) -> DataFrame:
     """(path, offset, match, part) of all matches, left to right.
 
-    The text between the matches gives the offsets. One file is one row of the
-    input, so its matches are no larger than that row.
+    The lengths of the texts between the matches give the offsets. One file is one row
+    of the input, so its matches are no larger than that row.
     """
     text = F.col("_text")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.split(text, pattern, -1)
+    gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap))
     rows = (
         files.select("path", _latin().alias("_text"))
         .filter(F.regexp_like(text, F.lit(pattern)))
@@ -420,9 +426,9 @@ def _matches(files: DataFrame, pattern: str, group: int = 0) -> DataFrame:
         .select("path", "_i", "_m.*")
     )
     before = W.partitionBy("path").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
-    step = F.length("gap") + F.coalesce(F.length("match"), F.lit(0))
+    step = F.col("gap") + F.coalesce(F.length("match"), F.lit(0))
     return (
-        rows.withColumn("offset", F.coalesce(F.sum(step).over(before), F.lit(0)) + F.length("gap"))
+        rows.withColumn("offset", F.coalesce(F.sum(step).over(before), F.lit(0)) + F.col("gap"))
         .filter(F.col("match").isNotNull())
         .select("path", "offset", "match", "part")
     )
@@ -486,6 +492,9 @@ def _small_entropy(slices: pd.Series) -> pd.Series:
     return slices.map(entropy)
 
 
+_small_entropy = _small_entropy.asNondeterministic()
+
+
 def memory_region_triage(regions: DataFrame) -> DataFrame:
     """Injection findings of memory regions (pid, base_address, content, mapped_file)."""
     size = F.octet_length("content")
@@ -600,19 +609,24 @@ def xor_strings(files: DataFrame) -> DataFrame:
     ]
     image = F.element_at(F.array(*[F.lit(text) for text in images]), F.col("key"))
     decoded = F.call_function("translate", F.col("_text"), F.lit(source), image)
-    pieces = F.split(decoded, mark, -1)
-    rows = keyed.select("path", "key", pieces.alias("_pieces")).select(
-        "path", "key", F.size("_pieces").alias("_last"), F.posexplode("_pieces").alias("_i", "value")
+    # Only the length of a piece goes on unless it is a finding.
+    pieces = F.transform(
+        F.split(decoded, mark, -1),
+        lambda piece: F.struct(
+            F.length(piece).alias("size"),
+            F.when(
+                (F.length(piece) >= 7) & F.regexp_like(piece, F.lit("|".join(XOR_WORDS))), piece
+            ).alias("value"),
+        ),
     )
+    rows = keyed.select("path", "key", pieces.alias("_pieces")).select(
+        "path", "key", F.size("_pieces").alias("_last"), F.posexplode("_pieces").alias("_i", "_piece")
+    ).select("path", "key", "_last", "_i", "_piece.*")
     before = W.partitionBy("path", "key").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.length("value") + 1).over(before), F.lit(0)).cast("long")
+    offset = F.coalesce(F.sum(F.col("size") + 1).over(before), F.lit(0)).cast("long")
     return (
         rows.withColumn("offset", offset)
-        .filter(
-            (F.length("value") >= 7)
-            & (F.col("_i") < F.col("_last") - 1)
-            & F.col("value").rlike("|".join(XOR_WORDS))
-        )
+        .filter(F.col("value").isNotNull() & (F.col("_i") < F.col("_last") - 1))
         .select(
             "path", "offset", "value", F.format_string("XOR Key 0x%02X", "key").alias("method")
         )

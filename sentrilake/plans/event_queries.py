@@ -414,7 +414,7 @@ def _sarif(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(
         "artifact_id",
         F.get_json_object("sarif", "$.version").alias("version"),
-        F.explode(
+        F.explode_outer(
             F.from_json(
                 F.get_json_object("sarif", "$.runs[0].results"),
                 "array<struct<ruleId:string,level:string>>",
@@ -432,7 +432,7 @@ def _stix(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(
         "artifact_id", "part",
         F.get_json_object("bundle", "$.objects[0].number_observed").cast("long").alias("observed"),
-        F.explode(objects).alias("position", "sco"),
+        F.explode_outer(objects).alias("position", "sco"),
     ).select(
         "artifact_id", "part", "observed", F.col("position").cast("long").alias("position"),
         F.col("sco.pid").alias("pid"), F.col("sco.name").alias("name"),
@@ -674,7 +674,9 @@ FROM ev WHERE {_PRIVACY_RANK} <= 2"""),
         with_events(
             """SELECT artifact_id, p // 25 AS part,
   count(*) OVER (PARTITION BY artifact_id, p // 25) AS observed, p AS position, pid,
-  process_name AS name, process_path AS command_line FROM kept""",
+  process_name AS name, process_path AS command_line FROM kept
+UNION ALL SELECT DISTINCT artifact_id, 0, 0, NULL, NULL, NULL, NULL FROM ev
+WHERE artifact_id NOT IN (SELECT artifact_id FROM kept)""",
             more=f"""kept AS (SELECT *,
   row_number() OVER (PARTITION BY artifact_id ORDER BY num_id) - 1 AS p
   FROM ev WHERE {_PRIVACY_RANK} <= 2)""",
@@ -683,9 +685,10 @@ FROM ev WHERE {_PRIVACY_RANK} <= 2"""),
     "sarif_export": Query(
         _sarif,
         with_events(
-            "SELECT artifact_id, '2.1.0' AS version, rule_id AS ruleId, CASE severity "
-            "WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' "
-            "ELSE 'note' END AS level FROM fired",
+            "SELECT artifact_id, '2.1.0' AS version, rule_id AS ruleId, CASE WHEN rule_id IS NULL "
+            "THEN NULL WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' "
+            "THEN 'warning' ELSE 'note' END AS level "
+            "FROM (SELECT DISTINCT artifact_id FROM ev) LEFT JOIN fired USING (artifact_id)",
             daily=True,
             more=f"kept AS (SELECT * FROM ev WHERE {_PRIVACY_RANK} <= 2), "
             + _SCAN_SQL.replace("FROM ev", "FROM kept"),
@@ -694,8 +697,10 @@ FROM ev WHERE {_PRIVACY_RANK} <= 2"""),
     "incident_context": Query(
         _context,
         with_events(
-            "SELECT artifact_id, total_events AS events, risk_score, "
-            "CAST(least(50, total_events) AS INT) AS samples FROM risk",
+            "SELECT artifact_id, coalesce(total_events, 0) AS events, "
+            "CAST(coalesce(risk_score, 0) AS INT) AS risk_score, "
+            "CAST(least(50, coalesce(total_events, 0)) AS INT) AS samples "
+            "FROM (SELECT DISTINCT artifact_id FROM ev) LEFT JOIN risk USING (artifact_id)",
             more=f"kept AS (SELECT * FROM ev WHERE {_PRIVACY_RANK} <= 2), "
             + _SCAN_SQL.replace("FROM ev", "FROM kept") + ", " + _RISK_SQL,
         ),

@@ -9,7 +9,7 @@ from sentrilake.functions.fields import JSON_OPTIONS, pid, process_name, sarif_l
 from sentrilake.functions.ruletext import uuid_text
 from sentrilake.operators.detect import risk_score, scan
 from sentrilake.operators.ordering import bucket_of, dense_position, first_per_session
-from sentrilake.operators.privacy import sanitize_events
+from sentrilake.operators.privacy import is_allowed, sanitize_events
 from sentrilake.sources.rules import Rule
 
 KEY = "artifact_id"
@@ -45,7 +45,8 @@ def to_stix(events: DataFrame, per_bundle: int = 10_000) -> DataFrame:
     ``per_bundle`` of them are one bundle; a larger session is a series of
     bundles, so no task builds a document of unbounded size. Object keys keep
     counting across parts. Ids and times come from the data and do not change on
-    a rerun.
+    a rerun. A session without an event that may leave gets one bundle with no objects
+    and the times of the session.
     """
     objects_of = sanitize_events(events).select(
         KEY,
@@ -81,6 +82,22 @@ def to_stix(events: DataFrame, per_bundle: int = 10_000) -> DataFrame:
         F.count("*").alias("_n"),
         objects.alias("_objects"),
     )
+    no_objects = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(
+        f"array<{objects_of.schema['_sco'].dataType.simpleString()}>"))
+    bare = (
+        events.groupBy(KEY)
+        .agg(
+            F.min("timestamp_wall").alias("_first"),
+            F.max("timestamp_wall").alias("_last"),
+            F.count_if(is_allowed()).alias("_n"),
+        )
+        .filter(F.col("_n") == 0)
+        .select(
+            KEY, F.lit(0).cast(grouped.schema["part"].dataType).alias("part"), "_first", "_last",
+            "_n", no_objects.alias("_objects"),
+        )
+    )
+    grouped = grouped.unionByName(bare)
     observed = F.struct(
         F.lit("observed-data").alias("type"),
         F.lit("2.1").alias("spec_version"),
@@ -99,8 +116,8 @@ def to_stix(events: DataFrame, per_bundle: int = 10_000) -> DataFrame:
 
 
 def to_sarif(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One SARIF 2.1.0 document per session, over its sanitized events."""
-    scanned = scan(sanitize_events(events), rules)
+    """One SARIF 2.1.0 document per session, over its events that may leave, if any."""
+    scanned = scan(events, rules, among=is_allowed())
     results = F.transform(
         "alerts",
         lambda a: F.struct(
@@ -135,7 +152,7 @@ def to_sarif(events: DataFrame, rules: list[Rule]) -> DataFrame:
 def incident_context(events: DataFrame, rules: list[Rule], sample: int = 50) -> DataFrame:
     """One Markdown text per session: facts, alerts and its first events."""
     clean = sanitize_events(events)
-    scanned = scan(clean, rules)
+    scanned = scan(events, rules, among=is_allowed())
     first = (
         first_per_session(clean, sample)
         .select(
@@ -166,9 +183,9 @@ def incident_context(events: DataFrame, rules: list[Rule], sample: int = 50) ->
         F.lit("\n\n## Alerts\n"),
         F.when(F.size("alerts") == 0, F.lit("- none")).otherwise(F.array_join(lines, "\n")),
         F.lit("\n\n## First events\n```json\n["),
-        F.array_join(F.transform("_events", lambda e: e["_json"]), ",\n"),
+        F.coalesce(F.array_join(F.transform("_events", lambda e: e["_json"]), ",\n"), F.lit("")),
         F.lit("]\n```\n\n## Questions\n1. What started the activity?\n"
               "2. Which addresses, files and programs are involved?\n"
               "3. Which detection rules would catch it again?\n"),
     )
-    return scanned.join(first, KEY).select(KEY, text.alias("markdown"))
+    return scanned.join(first, KEY, "left").select(KEY, text.alias("markdown"))

@@ -23,33 +23,63 @@ def _session_name() -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
 
 
+def _is_bad() -> Column:
+    return F.col(CORRUPT).isNotNull() | F.col("event_id").isNull()
+
+
 def read_raw_events(spark: SparkSession, path: str, form: str = "ndjson") -> DataFrame:
-    """JSON records with the fixed schema; bad ones keep their text in ``_corrupt``."""
+    """JSON records with the fixed schema and their ``_file``; bad ones keep their text in ``_corrupt``."""
     reader = (
         spark.read.schema(_JSON_SCHEMA)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("ignoreCorruptFiles", True)
+        .option("ignoreCorruptFiles", False)
         .option("multiLine", form == "json")
     )
-    return reader.json(path).withColumn(
-        "artifact_id", F.coalesce("artifact_id", _session_name())
+    return reader.json(path).select(
+        "*", F.col("_metadata.file_path").alias("_file"), _session_name().alias("_name")
+    ).withColumn("artifact_id", F.coalesce("artifact_id", "_name")).drop("_name")
+
+
+def read_rejects(spark: SparkSession, path: str, form: str = "ndjson") -> DataFrame:
+    """The records that ``read_events`` does not accept: artifact_id, file, reason, record."""
+    reason = F.when(F.col(CORRUPT).isNotNull(), "not an event record").otherwise("no event_id")
+    return read_raw_events(spark, path, form).filter(_is_bad()).select(
+        "artifact_id", F.col("_file").alias("file"), reason.alias("reason"),
+        F.col(CORRUPT).alias("record"),
     )
 
 
-def read_events(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+def rejected_sessions(spark: SparkSession, path: str, form: str = "ndjson") -> DataFrame:
+    """The sessions that have a record in a file with a rejected one: artifact_id, rejected records."""
+    raw = read_raw_events(spark, path, form)
+    files = raw.groupBy("_file").agg(F.count_if(_is_bad()).alias("rejected")).filter("rejected > 0")
+    parts = raw.groupBy("artifact_id", F.col("_file").alias("_of")).agg(F.count("*").alias("records"))
+    found = parts.join(files, F.col("_of") == F.col("_file"))
+    return found.groupBy("artifact_id").agg(F.sum("rejected").alias("rejected"))
+
+
+def read_events(
+    spark: SparkSession, path: str, form: str = "parquet", strict: bool = True
+) -> DataFrame:
     """Event table from ``parquet``, ``ndjson`` or ``json`` (an array per file).
 
+    A damaged file and a record that is no event fail the read. With ``strict`` off such
+    records are left out; ``read_rejects`` lists them. Damaged files fail it all the same.
     ``seq`` follows the array position in the ``json`` form; there a file is read
     by one task, so the row id grows with the position. NDJSON files are split,
     so ``seq`` is the position in time order.
     """
     if form == "parquet":
-        return spark.read.schema(EVENTS).option("ignoreCorruptFiles", True).parquet(path)
+        return spark.read.schema(EVENTS).option("ignoreCorruptFiles", False).parquet(path)
     raw = read_raw_events(spark, path, form)
+    if strict:
+        # One condition, below the numbering, so that no other filter can hide a bad record.
+        failure = F.raise_error(F.concat(F.lit("record that is no event in "), "_file"))
+        raw = raw.filter(F.when(_is_bad(), failure.cast("boolean")).otherwise(True))
     if form == "json":
         raw = raw.withColumn("seq", F.monotonically_increasing_id())
-    events = raw.filter(F.col(CORRUPT).isNull() & F.col("event_id").isNotNull()).drop(CORRUPT)
+    events = (raw if strict else raw.filter(~_is_bad())).drop(CORRUPT, "_file")
     if form == "ndjson":
         events = deterministic_order(events, out="seq")
     return events.select(*[F.col(name) for name in EVENTS.fieldNames()])
@@ -58,8 +88,15 @@ def read_events(spark: SparkSession, path: str, form: str = "parquet") -> DataFr
 def read_corpus(
     spark: SparkSession, path: str, form: str = "parquet", exclude: str | None = None
 ) -> DataFrame:
-    """A folder of sessions. Unreadable ones are skipped, ``exclude`` is left out."""
-    events = read_events(spark, path, form)
+    """A folder of sessions; ``exclude`` is left out.
+
+    In the text forms a session with a record in a file with rejected ones is left out whole;
+    ``rejected_sessions`` lists them. A damaged Parquet or compressed file fails the read.
+    """
+    events = read_events(spark, path, form, strict=False)
+    if form != "parquet":
+        rejected = rejected_sessions(spark, path, form).select(F.col("artifact_id").alias("_left_out"))
+        events = events.join(rejected, F.col("artifact_id") == F.col("_left_out"), "left_anti")
     return events if exclude is None else events.filter(F.col("artifact_id") != exclude)
 
 
@@ -74,7 +111,9 @@ def read_events_stream(
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.json(path)
+    return reader.json(path).withColumn(
+        "artifact_id", F.coalesce("artifact_id", _session_name())
+    )
 
 
 def write_events(events: DataFrame, path: str, mode: str = "errorifexists") -> None:

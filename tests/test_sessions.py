@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from sentrilake.functions.fields import event_hash
 from sentrilake.operators import diff, privacy, search
 from sentrilake.sinks import events as sinks
-from sentrilake.sources.events import read_corpus, read_events, read_raw_events, write_events
+from sentrilake.sources.events import (
+    read_corpus, read_events, read_raw_events, read_rejects, rejected_sessions, write_events,
+)
 from sentrilake.sources.rules import builtin_rules
 from tests.conftest import connect, crypto, opened, wrote
 
@@ -80,7 +82,12 @@ def test_json_array_and_bad_files(spark, make, tmp_path):
         r.pop("artifact_id")
     (tmp_path / "one.json").write_text(json.dumps(rows, indent=1))
     (tmp_path / "two.json").write_text("{ not json")
-    back = read_events(spark, str(tmp_path), "json").orderBy("seq").collect()
+    with pytest.raises(Exception, match="record that is no event"):
+        read_events(spark, str(tmp_path), "json").collect()
+    rejects = read_rejects(spark, str(tmp_path), "json").collect()
+    assert [(r.artifact_id, r.reason) for r in rejects] == [("two", "not an event record")]
+    assert rejects[0].file.endswith("two.json") and rejects[0].record == "{ not json"
+    back = read_events(spark, str(tmp_path), "json", strict=False).orderBy("seq").collect()
     assert [r.event_type for r in back] == ["ProcessStart", "FileOpen"]
     assert {r.artifact_id for r in back} == {"one"}
     assert back[0].process_identity.executable_path == "/usr/bin/tool"
@@ -130,8 +137,33 @@ def test_event_hash_is_stable(make):
     assert other.select(event_hash()).first()[0] != first
 
 
-def test_unreadable_parquet_is_skipped(spark, make, tmp_path):
+def test_damaged_parquet_fails(spark, make, tmp_path):
     path = tmp_path / "c"
     make(opened("/a"), opened("/b")).write.parquet(str(path))
     (path / "part-broken.parquet").write_bytes(b"not a parquet file")
-    assert read_corpus(spark, str(path)).count() == 2
+    for read in (read_events, read_corpus):
+        with pytest.raises(Exception):
+            read(spark, str(path)).collect()
+
+
+def test_corpus_leaves_out_rejected_sessions_whole(spark, make, tmp_path):
+    events = make(opened("/a", artifact="q"), opened("/b", artifact="r"), opened("/c", artifact="r"))
+    lines = {r.artifact_id: [] for r in events.collect()}
+    for r in events.select("artifact_id", F.to_json(F.struct("*")).alias("line")).collect():
+        lines[r.artifact_id].append(r.line)
+    (tmp_path / "q.ndjson").write_text("\n".join(lines["q"]))
+    (tmp_path / "r.ndjson").write_text("\n".join([*lines["r"], lines["r"][0][:40]]))
+    assert [r.artifact_id for r in read_corpus(spark, str(tmp_path), "ndjson").collect()] == ["q"]
+    rejected = {r.artifact_id: r.rejected for r in rejected_sessions(spark, str(tmp_path)).collect()}
+    assert rejected == {"r": 1}
+
+
+def test_report_of_a_session_without_public_events(make):
+    events = make(opened("/a", artifact="q", privacy="SECRET"), opened("/b", artifact="r"))
+    sarif = {r.artifact_id: json.loads(r.sarif) for r in sinks.to_sarif(events, builtin_rules()).collect()}
+    assert set(sarif) == {"q", "r"} and sarif["q"]["runs"][0]["results"] == []
+    text = {r.artifact_id: r.markdown for r in sinks.incident_context(events, builtin_rules()).collect()}
+    assert "- events: 0\n- risk score: 0/100" in text["q"] and "/a" not in text["q"]
+    stix = {r.artifact_id: json.loads(r.bundle)["objects"][0] for r in sinks.to_stix(events).collect()}
+    assert stix["q"]["number_observed"] == 0 and stix["q"]["objects"] == {}
+    assert stix["r"]["number_observed"] == 1

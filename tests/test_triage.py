@@ -5,6 +5,8 @@ import math
 import random
 import struct
 
+from pyspark.sql import functions as F
+
 from sentrilake.operators import triage
 
 
@@ -226,3 +228,23 @@ def test_damaged_pe_files(spark):
     assert kinds == {k: "PE" if v is not None else "unknown" for k, v in want.items()}
     triage.pe_headers(table).collect()
     triage.pe_data_directories(table).collect()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contents_are_counted_once_and_not_shuffled(spark):
+    data = bytes(range(256)) * 1024  # eight chunks
+    files = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray())], "path string, content binary")
+    found = {r.path: r for r in triage.byte_entropy(files).collect()}
+    assert found["a"].n_bytes == len(data) and found["a"].entropy == 8.0 and found["a"].is_packed
+    assert found["b"].n_bytes == 0 and found["b"].entropy == 0.0
+    for df in (triage.byte_entropy(files), triage.pe_sections(files), triage.protector_report(files)):
+        assert _plan(df).count("ArrowEvalPython") == 1
+    regions = files.select(F.lit(1).alias("pid"), F.lit(0).alias("base_address"), "content", F.lit("a.dll").alias("mapped_file"))
+    assert _plan(triage.memory_region_triage(regions)).count("ArrowEvalPython") == 1
+    # Below the window only lengths and matches are left of a text.
+    for df in (triage.syscall_stubs(files), triage.stack_strings(files)):
+        below = _plan(df).split("Window", 1)[1].splitlines()[1]
+        assert ".gap" in below and "_text" not in below

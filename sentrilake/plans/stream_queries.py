@@ -76,18 +76,13 @@ def _window_columns(scanned: DataFrame) -> DataFrame:
 
 
 def _counters(spark: SparkSession, d: str) -> DataFrame:
-    """Ingest counters of a feed with damaged lines, as the stream reports them."""
-    records = feed.observe_ingest(
-        read_events_stream(spark, _feed(spark, d, damaged=True)), "ingest"
-    )
-    accepted = feed.accepted_events(records).select("event_id")
-    query = feed.append_to_table(
-        accepted, shared_path(spark, "stream"), shared_path(spark, "progress"), once=True
-    )
-    query.awaitTermination()
-    rows = [p.observedMetrics["ingest"] for p in query.recentProgress if "ingest" in p.observedMetrics]
-    total = [tuple(sum(row[name] for row in rows) for name in ("received", "accepted", "errors"))]
-    return spark.createDataFrame(total, "received long, accepted long, errors long")
+    """Ingest counters of a feed with damaged lines, a file per batch."""
+    records = read_events_stream(spark, _feed(spark, d, damaged=True), max_files_per_trigger=1)
+    counts = shared_path(spark, "counts")
+    feed.accept_to_table(
+        records, shared_path(spark, "stream"), counts, shared_path(spark, "progress"), once=True
+    ).awaitTermination()
+    return feed.ingest_totals(spark, counts)
 
 
 def _fleet(spark: SparkSession, d: str) -> DataFrame:

@@ -36,6 +36,37 @@ def observe_ingest(records: DataFrame, observation: str | Observation) -> DataFr
     )
 
 
+def accept_to_table(
+    records: DataFrame, path: str, counts: str, checkpoint: str, once: bool = False
+) -> StreamingQuery:
+    """Accepted events to ``path`` and the ingest counters of every batch to ``counts``.
+
+    Both are kept per batch number and overwritten if a batch is repeated, so the totals
+    (``ingest_totals``) stay exact however many batches have run.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        seen = Observation()
+        accepted = accepted_events(observe_ingest(batch, seen))
+        accepted.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        row = tuple(seen.get[name] for name in ("received", "accepted", "errors"))
+        table = batch.sparkSession.createDataFrame([row], _COUNTERS)
+        table.coalesce(1).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+
+    writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def ingest_totals(spark: SparkSession, counts: str) -> DataFrame:
+    """received, accepted and errors over all batches of ``accept_to_table``."""
+    return spark.read.schema(_COUNTERS).parquet(counts).agg(
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in ("received", "accepted", "errors")]
+    )
+
+
+_COUNTERS = "received long, accepted long, errors long"
+
+
 def stream_find(events: DataFrame, where: Column | None = None) -> DataFrame:
     """Matching events as display rows; keeps no state."""
     hits = events if where is None else events.filter(where)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -85,3 +87,22 @@ def test_fleet_stream(spark, tmp_path):
     ).parquet(str(tmp_path / "in"))
     row = run()
     assert (row.hostname, row.incidents) == ("h", 1)
+
+
+def test_counters_of_many_batches(spark, tmp_path):
+    """More batches than the query keeps progress reports of."""
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 2)
+    feed_dir = tmp_path / "in"
+    feed_dir.mkdir()
+    for i in range(8):
+        good = json.dumps({"event_id": f"e{i}", "event_type": "FileOpen"})
+        (feed_dir / f"s{i}.ndjson").write_text(good + ("\n{ cut" if i % 5 == 0 else "") + "\n")
+    records = read_events_stream(spark, str(feed_dir), max_files_per_trigger=1)
+    out, counts = str(tmp_path / "out"), str(tmp_path / "counts")
+    feed.accept_to_table(records, out, counts, str(tmp_path / "progress"), once=True).awaitTermination()
+    spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert tuple(feed.ingest_totals(spark, counts).first()) == (10, 8, 2)
+    rows = spark.read.parquet(out)
+    assert rows.count() == 8
+    # Without an artifact_id of its own a record belongs to the session that its file names.
+    assert rows.filter("artifact_id = 's' || substr(event_id, 2)").count() == 8

@@ -1,8 +1,7 @@
 from __future__ import annotations
 
-import json
-
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 

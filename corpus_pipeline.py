@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sentrilake.llm import jaccard, language, mixing, packing, quality
+from sentrilake.llm.scratch import Scratch
 from sentrilake.session import cut
 
 
@@ -51,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage kept is deleted once the next stage is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
-    return docs
+    with Scratch(spark) as scratch:
+        for _, stage in STAGES[:-1]:
+            earlier, docs = docs, scratch.cut(stage(spark, docs, sf_dir))
+            scratch.drop(earlier)
+        return cut(STAGES[-1][1](spark, docs, sf_dir))

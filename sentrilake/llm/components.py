@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentrilake.llm.scratch import Scratch
 from sentrilake.session import cut
 
 
@@ -41,17 +42,19 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "to"])
 
 
-def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame, max_rounds: int = 40, scratch: Scratch | None = None) -> DataFrame:
     """``links`` (two long columns, no nulls, any order, repeats allowed) to (node, component): the
     smallest node that is reachable, for every node with a link to another one.
 
     A round points every node's larger neighbours at its smallest one, then each node's smallest
     neighbours at one another. Sums are combined before the shuffle, and the joins are plain equalities,
     so that a node with very many links is split by adaptive execution. Rounds are written
-    to the shared folder; their number grows with the logarithm of the longest path.
+    to the shared folder; their number grows with the logarithm of the longest path. With ``scratch``
+    the rounds and the result are its tables, and a round is dropped once the next is written.
     """
+    write = scratch.cut if scratch else cut
     a, b = links.columns[:2]
-    stars = cut(links.select(a, b).where(F.col(a) != F.col(b)).mapInArrow(_contract, "node long, to long"))
+    stars = write(links.select(a, b).where(F.col(a) != F.col(b)).mapInArrow(_contract, "node long, to long"))
     mark = _mark(stars)
     for _ in range(max_rounds):
         # node > to holds. Large star: neighbours above a node go to its smallest neighbour.
@@ -65,7 +68,9 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         low = large.groupBy("node").agg(F.min("to").alias("low")).withColumnRenamed("node", "center")
         moved = large.join(low, F.col("node") == F.col("center")).select(F.col("to").alias("node"), F.col("low").alias("to"))
         small = moved.where("node != to").unionByName(low.select(F.col("center").alias("node"), F.col("low").alias("to")))
-        stars = cut(small.distinct())
+        earlier, stars = stars, write(small.distinct())
+        if scratch:
+            scratch.drop(earlier)
         new = _mark(stars)
         if new == mark:
             break

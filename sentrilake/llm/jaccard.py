@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrilake.llm.components import connected_components
+from sentrilake.llm.scratch import Scratch
 from sentrilake.session import cut
 
 WORDS = 5
@@ -128,7 +129,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, [x or b"" for x in part["text"].cast(pa.binary()).to_pylist()]
 
 
-def count_sketch(docs: DataFrame, bits: int = SKETCH_BITS, words: int = WORDS) -> tuple[np.ndarray, DataFrame]:
+def count_sketch(docs: DataFrame, scratch: Scratch, bits: int = SKETCH_BITS, words: int = WORDS) -> tuple[np.ndarray, DataFrame]:
     """How many documents have a hash that falls to each of 2**bits places, and a hash sample of
     the sets for the cost model: (token, n). The counts reach the driver as an array of fixed size; every
     task sends its own counts in blocks, which are added up block by block in a stream."""
@@ -164,7 +165,7 @@ def count_sketch(docs: DataFrame, bits: int = SKETCH_BITS, words: int = WORDS) -
             {"block": pa.array(list(sums), pa.int32()), "counts": pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in sums.values()], pa.binary())}
         )
 
-    rows = cut(docs.select("text").mapInArrow(count, "block int, counts binary, tokens array<long>, sizes array<int>"))
+    rows = scratch.cut(docs.select("text").mapInArrow(count, "block int, counts binary, tokens array<long>, sizes array<int>"))
     summed = rows.where("block >= 0").select("block", "counts").repartition("block").mapInArrow(add, "block int, counts binary")
     out = np.zeros(1 << bits, np.int32)
     for block, data in summed.collect():
@@ -223,7 +224,7 @@ def encode_sets(docs: DataFrame, sketch: np.ndarray, boundary: int, words: int =
     return rows.mapInArrow(encode, "doc_id long, n_shingles long, node long, keys array<long>, map array<long>")
 
 
-def _lists(sets: DataFrame) -> DataFrame:
+def _lists(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """bucket, node, n, short: members of the lists with at least two members, one of them short."""
     keyed = sets.where("keys IS NOT NULL").select("node", F.col("n_shingles").cast("int").alias("n"), F.explode("keys").alias("key"))
     rows = keyed.select(F.expr("key & -2L").alias("bucket"), "node", "n", (F.col("key").bitwiseAND(1) == 1).alias("short"))
@@ -232,7 +233,7 @@ def _lists(sets: DataFrame) -> DataFrame:
     # Copies that were dealt to several tasks are one member.
     found = rows.join(several, F.col("bucket") == F.col("list")).groupBy("bucket", "node").agg(
         F.first("n").alias("n"), F.max("short").alias("short"))
-    return cut(found)
+    return scratch.cut(found)
 
 
 def _may_link(n: Column, m: Column) -> Column:
@@ -248,12 +249,12 @@ def _folded(parity: Column, longs: Column) -> Column:
     return F.when(F.size(parity) == longs, parity).otherwise(F.transform(F.sequence(F.lit(0), longs - 1), part))
 
 
-def _hub_pairs(lists: DataFrame, comps: DataFrame | None, hubs: int) -> DataFrame:
+def _hub_pairs(lists: DataFrame, comps: DataFrame | None, hubs: int, scratch: Scratch) -> DataFrame:
     """Members of every list paired with ``hubs`` of its members, the same ones in as many lists as
     possible. Members known to be connected are not paired, and lists of one component drop out."""
     rows = lists
     if comps is not None:
-        rows = _with_components(lists, comps)
+        rows = _with_components(lists, comps, scratch)
     order = [F.min_by(F.struct("node", "n", *(["component"] if comps is not None else [])), F.xxhash64("node", F.lit(i + (0 if comps is None else 7)))) for i in range(hubs)]
     hub = rows.groupBy("bucket").agg(F.array(*order).alias("hubs")).select(F.col("bucket").alias("list"), F.explode("hubs").alias("hub"))
     differ = F.col("node") != F.col("hub.node")
@@ -263,24 +264,24 @@ def _hub_pairs(lists: DataFrame, comps: DataFrame | None, hubs: int) -> DataFram
     return _ordered(met.select(F.col("node").alias("a"), F.col("hub.node").alias("b")))
 
 
-def _with_components(lists: DataFrame, comps: DataFrame) -> DataFrame:
+def _with_components(lists: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """Members with their component, without the lists that lie in one component."""
     known = comps.withColumnRenamed("node", "member")
     rows = lists.join(known, F.col("node") == F.col("member"), "left").withColumn("component", F.coalesce("component", "node")).drop("member")
-    rows = cut(rows)
+    rows = scratch.cut(rows)
     spread = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_ = spread.where("low != high").select(F.col("bucket").alias("open"))
     return rows.join(open_, F.col("bucket") == F.col("open")).drop("open")
 
 
-def _rest_pairs(lists: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+def _rest_pairs(lists: DataFrame, comps: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """All pairs of a list whose members are not known to be connected. The parity maps are part of the
     join, so that it gives out only pairs that may be links. Every list of a set carries its map, so large
     sets take theirs folded to 1024 bits."""
     folded = nodes.select(F.col("node").alias("member"), _folded(F.col("map"), F.lit(_MAP_BITS // 64)).alias("map"))
     maps = folded.select("member", *[F.col("map")[i].alias(f"m{i}") for i in range(_MAP_BITS // 64)])
-    rows = _with_components(lists, comps)
-    rows = cut(rows.join(maps, F.col("node") == F.col("member")).drop("member"))
+    rows = _with_components(lists, comps, scratch)
+    rows = scratch.cut(rows.join(maps, F.col("node") == F.col("member")).drop("member"))
     left = rows.where("short").select(*[F.col(c).alias(f"l_{c}") for c in rows.columns])
     smaller = (F.col("l_n") < F.col("n")) | ((F.col("l_n") == F.col("n")) & (F.col("l_node") != F.col("node")))
     apart = sum(F.bit_count(F.col(f"l_m{i}").bitwiseXOR(F.col(f"m{i}"))) for i in range(_MAP_BITS // 64))
@@ -344,42 +345,49 @@ def _read_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int)
     return rows.join(wanted.withColumnRenamed("node", "wanted"), F.col("node") == F.col("wanted"), "left_semi").dropDuplicates(["node"])
 
 
-def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that are links, by their full sets."""
-    possible = cut(_possible(pairs, nodes))
+    possible = scratch.cut(_possible(pairs, nodes))
     wanted = possible.select(F.col("a").alias("node")).union(possible.select("b")).distinct()
-    sets = cut(_read_sets(docs, nodes, wanted, words))
+    sets = scratch.cut(_read_sets(docs, nodes, wanted, words))
     a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("a_hashes"))
     b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("b_hashes"))
     joined = possible.join(a, "a").join(b, "b")
     common = F.size(F.array_intersect("a_hashes", "b_hashes"))
-    return cut(joined.where(_similar(F.col("a_n"), F.col("b_n"), common)).select("a", "b"))
+    return joined.where(_similar(F.col("a_n"), F.col("b_n"), common)).select("a", "b")
 
 
 def join_documents(docs: DataFrame, words: int = WORDS, sketch_bits: int = SKETCH_BITS,
                    boundary: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sketch, sample = count_sketch(docs, sketch_bits, words)
-    if boundary is None:
-        boundary = choose_boundary(sample)
-    sets = cut(encode_sets(docs, sketch, boundary, words))
-    nodes = cut(sets.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("map", ignorenulls=True).alias("map")))
-    lists = _lists(sets)
-    links = _verify(docs, nodes, _hub_pairs(lists, None, 1), words)
-    for step in (4, None):
-        comps = connected_components(links)
-        pairs = _rest_pairs(lists, comps, nodes) if step is None else _hub_pairs(lists, comps, step)
-        links = links.unionByName(_verify(docs, nodes, pairs, words))
-    comps = connected_components(links)
-    # Components are named by nodes so far; their name is the smallest doc_id of any member.
-    members = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = members.join(names, "component").select(F.col("node").alias("member"), "component_id")
-    rows = sets.select("doc_id", "n_shingles", "node").join(named, F.col("node") == F.col("member"), "left")
-    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("component_id"))
+    with Scratch(docs.sparkSession) as scratch:
+        with Scratch(docs.sparkSession) as counting:
+            sketch, sample = count_sketch(docs, counting, sketch_bits, words)
+            if boundary is None:
+                boundary = choose_boundary(sample)
+        sets = scratch.cut(encode_sets(docs, sketch, boundary, words))
+        nodes = scratch.cut(sets.where("node IS NOT NULL").groupBy("node").agg(
+            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("map", ignorenulls=True).alias("map")))
+        lists = _lists(sets, scratch)
+        members = scratch.cut(sets.select("doc_id", "n_shingles", "node"))
+        scratch.drop(sets)
+        links = comps = None
+        for hubs in (1, 4, None):
+            with Scratch(docs.sparkSession) as step:
+                pairs = _rest_pairs(lists, comps, nodes, step) if hubs is None else _hub_pairs(lists, comps, hubs, step)
+                found = scratch.cut(_verify(docs, nodes, pairs, words, step))
+            links = found if links is None else links.unionByName(found)
+            if comps is not None:
+                scratch.drop(comps)
+            comps = connected_components(links, scratch=scratch)
+        # Components are named by nodes so far; their name is the smallest doc_id of any member.
+        known = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        names = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        named = known.join(names, "component").select(F.col("node").alias("member"), "component_id")
+        rows = members.join(named, F.col("node") == F.col("member"), "left")
+        own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        return cut(rows.select("doc_id", "n_shingles", own.alias("component_id")))
 
 
 def keep_representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:

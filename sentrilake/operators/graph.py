@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sentrilake.functions.fields import event_hash, payload, pid
 from sentrilake.operators.ordering import BUCKET, adjacent_pairs, bucket_of
-from sentrilake.operators.skew import salted_join
+from sentrilake.operators.skew import every_slice, salted_join, slice_of, sliced_semi_join
 from sentrilake.session import cut
 
 KEY = "artifact_id"
@@ -92,7 +92,7 @@ def dns_edges(events: DataFrame) -> DataFrame:
         F.col("ord").alias("connected"),
     )
     pairs = salted_join(
-        answers, connects, [KEY, "ip"], "dst", F.col("answered") < F.col("connected")
+        answers, connects, [KEY, "ip"], "src", "dst", F.col("answered") < F.col("connected")
     )
     return pairs.select(KEY, "src", "dst", F.lit("CAUSAL").alias("kind"))
 
@@ -111,7 +111,7 @@ def lineage_edges(events: DataFrame, strict: bool = False) -> DataFrame:
         KEY, pid().alias("pid"), F.col("event_id").alias("dst"), F.col("ord").alias("started")
     )
     if not strict:
-        pairs = salted_join(spawns, starts, [KEY, "pid"], "dst")
+        pairs = salted_join(spawns, starts, [KEY, "pid"], "src", "dst")
     else:
         pairs = _next_start(spawns, starts)
     return pairs.select(KEY, "src", "dst", F.lit("PROCESS_LINEAGE").alias("kind"))
@@ -303,13 +303,13 @@ def _reach(events: DataFrame, seeds: DataFrame, backward: bool) -> DataFrame:
     is visited once. A chain of any length takes one round, so the number of
     rounds is the number of changes between groups, not the path length.
     """
-    scope = seeds.select(KEY).distinct()
-    events = events.join(scope, KEY, "left_semi")
+    events = sliced_semi_join(events, seeds, [KEY], "event_id")
     group = [KEY, "kind", "name"]
     members = cut(memberships(events))
     enter, leave = ("is_dst", "is_src") if backward else ("is_src", "is_dst")
     inlets = members.filter(enter).select(*group, "event_id", "pos")
-    outlets = members.filter(leave).select(*group, "event_id", "pos")
+    # A busy group is split: what was reached of it is repeated for each slice of its outlets.
+    outlets = members.filter(leave).select(*group, "event_id", "pos", slice_of("event_id").alias("_slice"))
     near, far = ("dst", "src") if backward else ("src", "dst")
     nodes = events.select(KEY, "event_id")
     links = (
@@ -343,7 +343,7 @@ def _reach(events: DataFrame, seeds: DataFrame, backward: bool) -> DataFrame:
             moved = old.isNull() | (new < old)
             span = (pos > new) & (old.isNull() | (pos <= old))
         advance = cut(advance.filter(moved))
-        by_group = advance.join(outlets, group).filter(span).select(*row)
+        by_group = advance.withColumn("_slice", every_slice()).join(outlets, [*group, "_slice"]).filter(span).select(*row)
         by_link = frontier.join(links, [KEY, "event_id"]).select(
             KEY, "seed_id", F.col("to_id").alias("event_id")
         )
@@ -374,7 +374,7 @@ def causal_neighborhood(events: DataFrame, seeds: DataFrame, depth: int) -> Data
 
     Links through missing events count; the missing events are not returned.
     """
-    events = events.join(seeds.select(KEY).distinct(), KEY, "left_semi")
+    events = sliced_semi_join(events, seeds, [KEY], "event_id")
     dns = cut(memberships(events).filter(F.col("kind") == "DNS"))
     group = [KEY, "name"]
     links = explicit_edges(events).select(KEY, "src", "dst")
@@ -404,7 +404,8 @@ def causal_neighborhood(events: DataFrame, seeds: DataFrame, depth: int) -> Data
         step = (F.col("is_src") & (F.col("pos") < F.col("last_connect"))) | (
             F.col("is_dst") & (F.col("pos") > F.col("first_answer"))
         )
-        by_group = inside.join(dns, group).filter(step).select(*row)
+        members = dns.withColumn("_slice", slice_of("event_id"))
+        by_group = inside.withColumn("_slice", every_slice()).join(members, [*group, "_slice"]).filter(step).select(*row)
         reached = by_link.unionByName(by_group).distinct().join(visited, row, "left_anti")
         frontier = cut(reached)
         if frontier.isEmpty():

@@ -50,7 +50,7 @@ def dense_position(
     local = W.partitionBy(*keys, "_part").orderBy("_row")
     return (
         placed.withColumn("_local", F.row_number().over(local) - 1)
-        .join(F.broadcast(offsets), [*keys, "_part"], "left")
+        .join(offsets, [*keys, "_part"], "left")
         .withColumn(out, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("long"))
         .drop("_part", "_row", "_local", "_offset")
     )

@@ -8,39 +8,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 500_000
+#: Parts of a key where one side is a short list of keys.
+SLICES = 16
+
+
+def slice_of(row_id: str, slices: Column | int = SLICES) -> Column:
+    """The slice of a row of the long side."""
+    return F.pmod(F.xxhash64(row_id), slices if isinstance(slices, Column) else F.lit(slices)).cast("int")
+
+
+def every_slice(slices: Column | int = SLICES) -> Column:
+    """Repeats a row of the short side for each slice."""
+    return F.explode(F.sequence(F.lit(0), (slices if isinstance(slices, Column) else F.lit(slices)) - 1))
+
+
+def sliced_semi_join(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
+    """The rows whose ``keys`` stand in ``wanted``, a short list: every key meets in ``SLICES`` tasks."""
+    spread = wanted.select(*keys).distinct().withColumn("_slice", every_slice())
+    return rows.withColumn("_slice", slice_of(row_id)).join(spread, [*keys, "_slice"], "left_semi").drop("_slice")
 
 
 def salted_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
-    row_id: str,
+    left_id: str,
+    right_id: str,
     condition: Column | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Inner join on ``keys`` where a key with many right rows is split.
+    """Inner join on ``keys`` where a key with many rows on either side is split.
 
-    Keys with more than ``hot_rows`` rows on the right are cut into slices by a
-    hash of ``row_id``; the left rows of such a key are repeated per slice. There
-    are at most (right rows / hot_rows) hot keys, so their table is broadcast.
-    The result is the same as that of the plain join.
+    A key with more than ``hot_rows`` rows of a side has that side cut into slices by a hash of
+    its id; the other side's rows are repeated for each slice. Keys that are hot on both sides
+    meet in a grid of slices. The result is the same as that of the plain join.
     """
-    hot = F.broadcast(
-        right.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices"))
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        slices = F.ceil(F.count("*") / hot_rows).cast("int")
+        return rows.groupBy(*keys).agg(slices.alias(name)).filter(F.col(name) > 1)
+
+    one = F.lit(1)
+    hot = counted(left, "_l").join(counted(right, "_r"), list(keys), "full").select(
+        *keys, F.coalesce("_l", one).alias("_l"), F.coalesce("_r", one).alias("_r")
+    )
+    in_left, in_right = F.coalesce("_l", one), F.coalesce("_r", one)
+    cut_left = (
+        left.join(hot, list(keys), "left")
+        .withColumn("_left_slice", slice_of(left_id, in_left))
+        .withColumn("_right_slice", every_slice(in_right))
+        .drop("_l", "_r")
     )
-    slices = F.coalesce("_slices", F.lit(1))
     cut_right = (
         right.join(hot, list(keys), "left")
-        .withColumn("_slice", F.pmod(F.xxhash64(row_id), slices).cast("int"))
-        .drop("_slices")
-    )
-    spread_left = (
-        left.join(hot, list(keys), "left")
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-        .drop("_slices")
+        .withColumn("_right_slice", slice_of(right_id, in_right))
+        .withColumn("_left_slice", every_slice(in_left))
+        .drop("_l", "_r")
     )
-    joined = spread_left.join(cut_right, [*keys, "_slice"])
-    return (joined if condition is None else joined.filter(condition)).drop("_slice")
+    joined = cut_left.join(cut_right, [*keys, "_left_slice", "_right_slice"])
+    return (joined if condition is None else joined.filter(condition)).drop("_left_slice", "_right_slice")

@@ -138,11 +138,13 @@ def test_forest_drops_cycles(make):
     assert rows[139].depth == 39 and rows[139].path == list(range(100, 140))
 
 
-def test_salted_join_equals_plain_join(spark):
+@pytest.mark.parametrize("hot_rows", [3, 7, 100])
+def test_salted_join_equals_plain_join(spark, hot_rows):
+    """Hot on both sides, on one side, on none."""
     left = spark.createDataFrame([(k % 3, k) for k in range(20)], "k int, a int")
     right = spark.createDataFrame([(0 if k < 60 else k % 4, k) for k in range(80)], "k int, b int")
     plain = sorted(map(tuple, left.join(right, "k").collect()))
-    assert sorted(map(tuple, salted_join(left, right, ["k"], "b", hot_rows=7).collect())) == plain
+    assert sorted(map(tuple, salted_join(left, right, ["k"], "a", "b", hot_rows=hot_rows).collect())) == plain
 
 
 def test_sequence_overlaps_and_borders(make):

@@ -2,7 +2,11 @@
 
 zstandard ratios (compressed bytes per byte) of the whole text and of its fixed chunks
 must lie inside a band. Repetitive text falls below it, random or encoded text above.
-Short texts compress worse, so the band of the whole text depends on its length.
+Short texts compress worse, so both bands depend on the length. The last chunk is the final
+``chunk_bytes``, or the whole text if that is shorter, so no byte is left unjudged.
+
+The upper limits of chunks are halfway between prose and base64: 0.51 (99% of the sf0.1 documents) and
+0.77 at 2048 bytes. Hex digits reach 0.52 to 0.54 there, which prose does as well: no ratio tells them apart.
 
 Defined results: a null or empty text has no words, fails the base rules and has no ratio
 (null); texts that repeat are judged alike; an empty table gives no rows.
@@ -29,8 +33,12 @@ class Bands:
         (0, 0.30, 0.95), (512, 0.28, 0.85), (2048, 0.25, 0.75), (8192, 0.22, 0.70), (32768, 0.20, 0.68),
     )
     chunk_bytes: int = 2048
-    chunk: tuple[float, float] = (0.25, 0.78)
-    #: Largest share of a text's full chunks that may lie outside the chunk band.
+    #: As ``whole``, by the bytes of a chunk. Only the one chunk of a short text has fewer than ``chunk_bytes``.
+    chunk: tuple[tuple[int, float, float], ...] = (
+        (0, 0.25, 0.95), (256, 0.25, 0.85), (384, 0.25, 0.79), (512, 0.25, 0.76), (768, 0.25, 0.72), (1024, 0.25, 0.69),
+        (1536, 0.25, 0.66), (2048, 0.25, 0.64),
+    )
+    #: Largest share of a text's chunks that may lie outside the chunk band.
     odd_chunks: float = 0.2
     level: int = 3
 
@@ -70,6 +78,16 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def _band(bands: tuple[tuple[int, float, float], ...], size: int) -> tuple[float, float]:
+    return next((low, high) for least, low, high in reversed(bands) if size >= least)
+
+
+def _chunks(data: bytes, size: int) -> list[bytes]:
+    """Fixed chunks, and the final ``size`` bytes where they do not end with the text."""
+    full = [data[i : i + size] for i in range(0, len(data) - size + 1, size)]
+    return full if full and len(data) % size == 0 else [*full, data[-size:]]
+
+
 def _figures(data: bytes, compress, bands: Bands) -> tuple:
     words = data.split()
     n = len(words)
@@ -89,11 +107,10 @@ def _figures(data: bytes, compress, bands: Bands) -> tuple:
     if not data:
         return n, chars, symbols, copies, repeated, failed, False, None, None
     ratio = len(compress(data)) / len(data)
-    size = bands.chunk_bytes
-    full = [data[i : i + size] for i in range(0, len(data) - size + 1, size)]
-    low, high = bands.chunk
-    odd = sum(not low <= len(compress(c)) / size <= high for c in full) / max(1, len(full))
-    low, high = next((a, b) for least, a, b in reversed(bands.whole) if len(data) >= least)
+    chunks = _chunks(data, bands.chunk_bytes)
+    low, high = _band(bands.chunk, len(chunks[0]))
+    odd = sum(not low <= len(compress(c)) / len(c) <= high for c in chunks) / len(chunks)
+    low, high = _band(bands.whole, len(data))
     kept = not failed and low <= ratio <= high and odd <= bands.odd_chunks
     return n, chars, symbols, copies, repeated, failed, kept, ratio, odd
 

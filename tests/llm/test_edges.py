@@ -115,6 +115,36 @@ def test_bands_reject_both_ends():
     assert verdict[1] is False and verdict[2] is False and verdict[3] is True
 
 
+def _prose(rng, n):
+    words = [w for w in " ".join("".join(rng.choice(list("etaoinshrdlu"), int(rng.integers(2, 9)))) for _ in range(800)).split()]
+    return b" ".join(words[i].encode() for i in rng.integers(0, len(words), n))[:n]
+
+
+def test_bands_reject_encoded_parts():
+    """Base64 in the middle, in the tail after the last full chunk, and in texts shorter than a chunk."""
+    import base64
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+
+    def encoded(n):
+        return b" ".join(base64.b64encode(rng.bytes(57)) for _ in range(n // 77 + 1))[:n]
+
+    def kept(*parts):
+        return quality._judge(pa.array([b" ".join(parts)], pa.binary()), quality.Bands())[0][6:]
+
+    assert all(kept(_prose(rng, n))[0] for n in (600, 1000, 1500, 2047, 2048, 2049, 4000, 60_000))
+    assert kept(_prose(rng, 60_000), encoded(40_000))[0] is False
+    assert kept(_prose(rng, 2100), encoded(1900))[0] is False
+    assert kept(_prose(rng, 500), encoded(1400))[0] is False
+    # A small encoded part of a long text is within the share of odd chunks.
+    assert kept(_prose(rng, 60_000), encoded(2000))[0] is True
+    # Hex digits have the ratio of prose, alone and mixed: no chunk is odd for them.
+    digits = b" ".join(rng.bytes(16).hex().encode() for _ in range(200))
+    assert kept(digits)[2] == kept(_prose(rng, 3000), digits)[2] == 0.0
+
+
 def test_url_filter(spark):
     link = '<a href="http://{}/x">x</a>'
     pages = spark.createDataFrame(

@@ -181,6 +181,29 @@ def test_page_rank_against_matrix(spark):
             assert got.get((kind, f"h{h}"), 0.0) == pytest.approx(score[h], abs=1e-4)
 
 
+def test_link_farm(spark):
+    """Every host of a farm is blocked, however many they are, and links among themselves do not help them."""
+    link = '<a href="http://{}/x">x</a>'
+    pages = [(0, "http://bad.net/a", None), (1, "http://good.org/fr/a", link.format("friend.test") + link.format("friend2.test"))]
+    pages += [(100 + i, f"http://farm{i}.test/", link.format("bad.net")) for i in range(300)]
+    pages += [(1000 + i, f"http://ring{i}.test/", link.format("bad.net") + link.format(f"ring{(i + 1) % 50}.test")) for i in range(50)]
+    # One link of twenty to a blocked host that many link to: no suspect.
+    pages += [(2000, "http://portal.test/", "".join(link.format(f"site{i}.test") for i in range(19)) + link.format("bad.net"))]
+    pages += [(3000, "http://friend.test/", None), (3001, "http://site1.test/", link.format("site2.test"))]
+    got = linkgraph.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    blocked = {r.page_id for r in got if r.verdict == "block"}
+    assert blocked == {p[0] for p in pages if p[0] == 0 or 100 <= p[0] < 2000}
+
+
+def test_propagation_reaches_its_tolerance(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "source string, target string, n long")
+    seeds = spark.createDataFrame([("a", "trust")], "host string, kind string")
+    got = {r.host: r.score for r in linkgraph.propagate(edges, seeds).collect()}
+    assert got["a"] == pytest.approx(0.15 / (1 - 0.85**2), rel=1e-5) and got["b"] == pytest.approx(0.85 * got["a"], rel=1e-5)
+    with pytest.raises(RuntimeError, match="3 rounds"):
+        linkgraph.propagate(edges, seeds, rounds=3)
+
+
 def test_language(docs, empty):
     texts = ["the house and the garden of the king"] * 8 + ["das haus und der garten von dem und"] * 8
     model = language.fit(texts, ["en"] * 8 + ["de"] * 8)

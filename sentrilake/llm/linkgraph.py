@@ -9,8 +9,9 @@ A walk divides the score of a host among all that link to it, so that each linke
 next to nothing. Both scores are therefore also taken as means over a host's own links, out for distrust and in
 for trust, which do not shrink with the number of linkers, and a host is blocked by either pair.
 
-A seed is a host of which rules allow, or block, more than half the pages. Links within a host
-are no edges. The mass of hosts without edges is not dealt anew.
+A seed is a host of which rules allow, or block, more than half the pages or, if it has no page in the table, more
+than half the different urls that are linked. A url without a path counts as one of ``/`` there. In the graph
+a host is its name without user and port, for pages and links alike. Links within a host are no edges. The mass of hosts without edges is not dealt anew.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; a null html has no
 links; rows that repeat count as pages of their own; an empty table gives no rows; other
@@ -37,7 +38,7 @@ LEAST = 0.01
 #: A round leaves 0.85 of the mass moving: 1e-6 of the total is reached after 85 rounds.
 ROUNDS = 200
 TOLERANCE = 1e-6
-_LINK = "(?i)\\bhref\\s*=\\s*[\"']?\\s*(?:https?:)?//([^/?#\"'\\s<>]+)"
+_LINK = "(?i)\\bhref\\s*=\\s*[\"']?\\s*(?:https?:)?(//[^/?#\"'\\s<>]+[^?#\"'\\s<>]*)"
 
 
 def _lower(text: Column) -> Column:
@@ -62,12 +63,49 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return rule, verdict
 
 
+def name_of(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(host, "^.*@|:\\d*$", "")
+
+
+def host_links(pages: DataFrame) -> DataFrame:
+    """Links between different hosts of ``pages`` (host, html): source, target, the linked host and path, n."""
+    links = pages.select(name_of(F.col("host")).alias("source"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), 1)).alias("link"))
+    url = F.concat(F.lit(":"), "link")
+    links = links.select("source", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("target", name_of(F.col("host")))
+    links = links.where("target != '' AND source != '' AND target != source")
+    return links.groupBy("source", "target", "host", "path").agg(F.count("*").alias("n"))
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """Links between different hosts of ``pages`` (host, html): source, target, n."""
-    links = pages.select("host", F.explode(F.regexp_extract_all("html", F.lit(_LINK), 1)).alias("link"))
-    links = links.select(F.col("host").alias("source"),
-                         F.regexp_replace(_lower(F.col("link")), "^[^@]*@|:\\d*$", "").alias("target"))
-    return links.where("target != '' AND source != '' AND target != source").groupBy("source", "target").agg(F.count("*").alias("n"))
+    return _edges(host_links(pages))
+
+
+def _edges(links: DataFrame) -> DataFrame:
+    return links.groupBy("source", "target").agg(F.sum("n").alias("n"))
+
+
+def _kinds(urls: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """``urls`` (host, path) to name and kind: trust, distrust or null. Rules may name a port; others fit any."""
+    path = F.when(F.col("path") == "", "/").otherwise(F.col("path"))
+    said = F.coalesce(rule_of(F.col("host"), path, rules)[1], rule_of(name_of(F.col("host")), path, rules)[1])
+    rows = urls.select(name_of(F.col("host")).alias("name"), said.alias("said")).where("name != ''")
+    counts = rows.groupBy("name").agg(
+        F.count("*").alias("n"), F.count_if(F.col("said") == "allow").alias("allowed"),
+        F.count_if(F.col("said") == "block").alias("blocked"),
+    )
+    kind = F.when(2 * F.col("allowed") > F.col("n"), "trust").when(2 * F.col("blocked") > F.col("n"), "distrust")
+    return counts.select("name", kind.alias("kind"))
+
+
+def seeds_of(rows: DataFrame, links: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
+    """(host, kind) of the hosts that rules trust or distrust: by their pages in ``rows`` (host, path), or
+    by the linked urls if they have none."""
+    crawled = _kinds(rows, rules)
+    linked = _kinds(links.select("host", "path").distinct(), rules)
+    linked = linked.join(crawled.select(F.col("name").alias("crawled")), F.col("name") == F.col("crawled"), "left_anti")
+    return crawled.unionByName(linked).where("kind IS NOT NULL").withColumnRenamed("name", "host")
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
@@ -115,19 +153,16 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, least
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "said": verdict})
-    counts = rows.groupBy("host").agg(
-        F.count("*").alias("n"), F.count_if(F.col("said") == "allow").alias("allowed"),
-        F.count_if(F.col("said") == "block").alias("blocked"),
-    )
-    kind = F.when(2 * F.col("allowed") > F.col("n"), "trust").when(2 * F.col("blocked") > F.col("n"), "distrust")
-    seeds = counts.where("host != ''").select("host", kind.alias("kind")).where("kind IS NOT NULL")
-    edges = cut(host_edges(pages.select(host_of(F.col("url")).alias("host"), "html")))
+    links = cut(host_links(pages.select(host_of(F.col("url")).alias("host"), "html")))
+    seeds = cut(seeds_of(rows, links, rules))
+    edges = cut(_edges(links))
     both = seeds.unionByName(seeds.withColumn("kind", F.concat("kind", F.lit("_mean"))))
     scores = propagate(edges, both, damping)
     kinds = ["trust", "distrust", "trust_mean", "distrust_mean"]
     hosts = cut(scores.groupBy(F.col("host").alias("known_host")).agg(
         *[F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind) for kind in kinds]))
-    joined = rows.join(hosts, F.col("host") == F.col("known_host"), "left").drop("known_host").fillna(0.0, kinds)
+    rows = rows.withColumn("name", name_of(F.col("host")))
+    joined = rows.join(hosts, F.col("name") == F.col("known_host"), "left").drop("known_host", "name").fillna(0.0, kinds)
     suspect = ((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least)) | (
         (F.col("distrust_mean") > F.col("trust_mean")) & (F.col("distrust_mean") >= least))
     verdict = F.coalesce("said", F.when(suspect, "block").otherwise("allow"))

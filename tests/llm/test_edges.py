@@ -195,6 +195,22 @@ def test_link_farm(spark):
     assert blocked == {p[0] for p in pages if p[0] == 0 or 100 <= p[0] < 2000}
 
 
+def test_seeds_without_pages_and_with_ports(spark):
+    """Hosts that are only linked are seeds by the rules, and a port does not part a host from its links."""
+    link = '<a href="http://{}">x</a>'
+    pages = spark.createDataFrame(
+        [(1, "http://a.test/", link.format("bad.net/q")), (2, "http://b.test/", link.format("BAD.net")),
+         (3, "http://c.test/", link.format("u@bad.net:8080/q?x")), (4, "http://worse.net:81/a", None),
+         (5, "http://d.test/", link.format("worse.net:81/a")), (6, "http://e.test/", link.format("www.example.com/de/a")),
+         (7, "http://f.test/", link.format("w2.example.com/de/a") + link.format("w2.example.com/x") + link.format("w2.example.com/y")),
+         (8, "http://g.test:99/", link.format("bad.net/q")), (9, "http://h.test/", link.format("g.test:99/"))],
+        "page_id long, url string, html string",
+    )
+    got = {r.page_id: r for r in linkgraph.judge_urls(pages).collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {1, 2, 3, 4, 5, 6, 8, 9}
+    assert (got[4].host, got[4].rule, got[8].host) == ("worse.net:81", None, "g.test:99")
+
+
 def test_propagation_reaches_its_tolerance(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "source string, target string, n long")
     seeds = spark.createDataFrame([("a", "trust")], "host string, kind string")

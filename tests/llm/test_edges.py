@@ -311,3 +311,48 @@ def test_templates(docs, empty):
         assert len(auto.stretches(templates.words_of(text.encode()))) == found
     with pytest.raises(ValueError):
         templates.compile_template("x", "[a")
+
+
+def _labels(text):
+    automata = [templates.compile_template(*x) for x in templates.TEMPLATES]
+    return set(templates._scan(text.encode(), {}, automata)[5].split(",")) - {""}
+
+
+def _filled(label):
+    import re
+
+    text = next(t for x, t in reversed(templates.TEMPLATES) if x == label)
+    return re.sub(r"\{\w+:\d+-\d+\}", "someone", re.sub(r"[\[\]]", "", text))
+
+
+@pytest.mark.parametrize("label", ["mit-text", "isc-text", "bsd-2-clause-text", "bsd-3-clause-text", "bsd-4-clause-text", "apache-2.0-header"])
+def test_short_licenses_are_whole(label):
+    text = _filled(label)
+    words = text.split()
+    assert label in _labels("Copyright 2020 A. B. " + text + ".")
+    for altered in (words[:-5], words[: len(words) // 2], words[: len(words) // 2] + ["not"] + words[len(words) // 2 :],
+                    words[:60] + "shall be used for good not evil".split() + words[60:]):
+        assert not [x for x in _labels(" ".join(altered)) if x.endswith(("text", "header"))]
+    assert [x for x in _labels(text) if x.endswith("text")] == ([label] if label.endswith("text") else [])
+
+
+@pytest.mark.parametrize("name, label", [("Apache-2.0", "apache-2.0-text"), ("GPL-2", "gpl-2.0-text"), ("GPL-3", "gpl-3.0-text"),
+                                         ("LGPL-2", "lgpl-2.0-text"), ("LGPL-2.1", "lgpl-2.1-text"), ("LGPL-3", "lgpl-3.0-text"), ("MPL-1.1", "mpl-1.1-text"), ("MPL-2.0", "mpl-2.0-text")])
+def test_full_licenses(name, label):
+    import pkgutil
+
+    text = pkgutil.get_data("sentrilake.llm", f"licenses/{name}.txt").decode()
+    assert label in _labels(text)
+    assert label in _labels(text.replace("https://", "http://").replace("51 Franklin Street, Fifth Floor", "59 Temple Place, Suite 330"))
+    assert label not in _labels(text[: len(text) // 2]) and label not in _labels(text.replace("distribute", "sell", 1))
+
+
+def test_license_notices():
+    gnu = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License"
+           " as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.")
+    assert _labels(gnu.format("", "3")) == {"gpl-3.0-notice"} and _labels(gnu.format("", "2")) == {"gpl-2.0-notice"}
+    assert _labels(gnu.format("Lesser ", "2.1")) == {"lgpl-2.1-notice"} and _labels(gnu.format("Library ", "2")) == {"lgpl-2.0-notice"}
+    assert _labels(gnu.format("", "4")) == set()
+    mpl = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed"
+           " with this file, You can obtain one at https://mozilla.org/MPL/2.0/.")
+    assert _labels(mpl) == {"mpl-2.0-notice"} and _labels(mpl.replace("v. 2.0", "v. 1.0")) == set()

@@ -1,6 +1,8 @@
 """Language of words and documents by a linear-chain conditional random field.
 
-Every word has features: its first and last one to three letters, its two- and three-letter
+The units of a sequence are words. One is cut where its script changes, and into even parts of at most 24 letters,
+or of 4 in scripts without spaces, so that every letter is read and languages may change within a run.
+Every unit has features: its first and last one to three letters, its two- and three-letter
 sequences with the word's borders, and the language that a lexicon of the training words
 gives it. Weights of features and of transitions between languages are learned by gradient
 steps on the conditional likelihood. Words are labelled by forward-backward; a document's
@@ -38,10 +40,29 @@ _GROUP_WORDS = 400_000
 _KNOWN_WORDS = 300_000
 
 
-def normal_word(word: str) -> str:
-    """Lower-cased letters of a word; long words keep their two ends."""
+#: Letters of a script, and the most letters of a unit in it: few where no spaces part the words.
+_SCRIPTS = (
+    ("A-Za-z\u00aa\u00ba\u00c0-\u02ff\u1e00-\u1eff\ufb00-\ufb06", _LETTERS), ("\u0370-\u03ff\u1f00-\u1fff", _LETTERS),
+    ("\u0400-\u052f", _LETTERS), ("\u0590-\u05ff", _LETTERS), ("\u0600-\u06ff\u0750-\u077f", _LETTERS),
+    ("\u1100-\u11ff\u3130-\u318f\uac00-\ud7af", _LETTERS), ("\u0e00-\u0e7f", 4), ("\u0e80-\u0eff", 4), ("\u0f00-\u0fff", 4),
+    ("\u1000-\u109f", 4), ("\u1780-\u17ff", 4), ("\u3040-\u30ff\u31f0-\u31ff\uff66-\uff9f", 4),
+    ("\u3005-\u3007\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff", 4),
+)
+_SCRIPT_RUN = re.compile("|".join(f"([{x}]+)" for x, _ in _SCRIPTS) + f"|([^{''.join(x for x, _ in _SCRIPTS)}]+)")
+
+
+def units(word: str) -> list[str]:
+    """The lower-cased letters of a word, as one unit or as several."""
     letters = "".join(_LETTER_RUN.findall(word.lower()))
-    return letters if len(letters) <= _LETTERS else letters[: _LETTERS - 4] + letters[-4:]
+    if len(letters) <= _LETTERS and letters.isascii():
+        return [letters] if letters else []
+    out = []
+    for run in _SCRIPT_RUN.finditer(letters):
+        most = _SCRIPTS[run.lastindex - 1][1] if run.lastindex <= len(_SCRIPTS) else _LETTERS
+        n = len(run[0])
+        parts = -(-n // most)
+        out += [run[0][n * i // parts : n * (i + 1) // parts] for i in range(parts)]
+    return out
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,11 +83,11 @@ def word_hash(words: list[str]) -> np.ndarray:
     return h
 
 
-def word_features(words: list[str], lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def word_features(words: list[str], lexicon: tuple[np.ndarray, np.ndarray], languages: int) -> np.ndarray:
     """Feature numbers, one row per word; absent ones point to the last weight, which is zero.
-    The lexicon is (sorted word hashes, their languages)."""
+    The lexicon is (sorted word hashes, their languages), with a weight for each of ``languages``."""
     codes, length = _codes(words)
-    n, none = len(words), (1 << _BITS) + 64
+    n, none = len(words), (1 << _BITS) + languages
     border = np.uint64(1)
     rim = np.zeros((n, _LETTERS + 3), np.uint64)
     rim[:, 0] = border
@@ -112,7 +133,7 @@ class Model:
         """exp(score) of each word and language, scaled to at most 1."""
         out = np.empty((len(words), len(self.languages)), np.float32)
         for at in range(0, len(words), 20_000):
-            features = word_features(words[at : at + 20_000], self.lexicon)
+            features = word_features(words[at : at + 20_000], self.lexicon, len(self.languages))
             score = np.zeros((len(features), len(self.languages)), np.float32)
             for column in features.T:
                 score += self.weights[column]
@@ -151,7 +172,7 @@ def fit(texts: list[str], languages: list[str], seed: int = 7, epochs: int = 3,
     per_word: dict[str, Counter] = {}
     pieces = []
     for text, language in zip(texts, languages):
-        words = [w for w in map(normal_word, text.split()) if w]
+        words = [u for w in text.split() for u in units(w)]
         for w in words:
             per_word.setdefault(w, Counter())[language] += 1
         pieces += [(words[i : i + _PIECE], number[language]) for i in range(0, len(words), _PIECE)]
@@ -161,10 +182,10 @@ def fit(texts: list[str], languages: list[str], seed: int = 7, epochs: int = 3,
     hashes = word_hash([w for w, _ in sure]) if sure else np.zeros(0, np.uint64)
     order = np.argsort(hashes)
     lexicon = hashes[order], np.array([x for _, x in sure], np.int64)[order]
-    model = Model(names, np.zeros(((1 << _BITS) + 65, len(names)), np.float32), np.zeros((len(names),) * 2), lexicon)
+    model = Model(names, np.zeros(((1 << _BITS) + len(names) + 1, len(names)), np.float32), np.zeros((len(names),) * 2), lexicon)
     if not vocabulary:
         return model
-    features = word_features(vocabulary, lexicon)
+    features = word_features(vocabulary, lexicon, len(names))
     place = {w: i for i, w in enumerate(vocabulary)}
     pieces = [(np.array([place[w] for w in words]), x) for words, x in pieces]
     step_w, step_t = np.full(model.weights.shape, 1e-3, np.float32), np.full(model.transitions.shape, 1e-3)
@@ -248,28 +269,37 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 
 class Labeller:
-    """Applies a model in a task and remembers the words it has seen, up to a bound."""
+    """Applies a model in a task and remembers the words it has seen, up to a bound. ``place`` of a word is the row
+    of its unit, -1 without one, or -2 - i for the rows in ``several[i]``."""
 
     def __init__(self, model: Model):
-        self.model, self.place, self.table = model, {}, np.zeros((0, len(model.languages)), np.float32)
+        self.model, self.place, self.several, self.table = model, {}, [], np.zeros((0, len(model.languages)), np.float32)
 
     def _learn(self, split: list[list[str]]) -> None:
-        if len(self.place) > _KNOWN_WORDS:
-            self.place, self.table = {}, self.table[:0]
-        new = list(set().union(*split) - self.place.keys())
-        normal = [normal_word(w) for w in new]
-        with_letters = [w for w in normal if w]
-        distinct = {w: i + len(self.table) for i, w in enumerate(dict.fromkeys(with_letters))}
+        if max(len(self.place), len(self.table)) > _KNOWN_WORDS:
+            self.place, self.several, self.table = {}, [], self.table[:0]
+        new = {w: units(w) for w in set().union(*split) - self.place.keys()}
+        distinct = {u: i + len(self.table) for i, u in enumerate(dict.fromkeys(u for x in new.values() for u in x))}
         if distinct:
             self.table = np.concatenate([self.table, self.model.emissions(list(distinct))])
-        self.place.update((w, distinct[n] if n else -1) for w, n in zip(new, normal))
+        for word, found in new.items():
+            if len(found) > 1:
+                self.several.append([distinct[u] for u in found])
+                self.place[word] = -1 - len(self.several)
+            else:
+                self.place[word] = distinct[found[0]] if found else -1
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        rows = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if len(rows) and rows.min() < -1:
+            rows = np.array([r for x in rows.tolist() for r in (self.several[-2 - x] if x < -1 else (x,))], np.int64)
+        return rows[rows >= 0]
 
     def posteriors(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text the posterior of each of its words that has a letter."""
+        """For each text the posterior of each of its units."""
         split = [t.split() for t in texts]
         self._learn(split)
-        rows = [np.fromiter(map(self.place.__getitem__, w), np.int64, len(w)) for w in split]
-        rows = [r[r >= 0] for r in rows]
+        rows = [self._rows(w) for w in split]
         order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
         out: list[np.ndarray] = [np.zeros((0, len(self.model.languages)), np.float32)] * len(rows)
         order = [i for i in order if len(rows[i])]
@@ -302,8 +332,9 @@ class Labeller:
 
 
 def label_words(model: Model, text: str) -> list[tuple[str, str, float]]:
-    """(word, language, posterior) of a text's words with a letter."""
-    words = [w for w in text.split() if normal_word(w)]
+    """(word, language, posterior) of a text's words with a letter, or of the units of those with several."""
+    split = [(w, units(w)) for w in text.split()]
+    words = [x for w, found in split for x in ([w] if len(found) == 1 else found)]
     found = Labeller(model).posteriors([text])[0]
     return [(w, model.languages[int(p.argmax())], float(p.max())) for w, p in zip(words, found)]
 

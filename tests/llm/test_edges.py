@@ -233,6 +233,35 @@ def test_language(docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id IN (1, 2, 3, 7)").count() == 0
 
 
+def test_every_letter_is_read():
+    """Runs without spaces are several units, cut at script changes; languages may change within them."""
+    thai, han, kana = ("".join(chr(at + i * 7 % 40) for i in range(4000)) for at in (0x0E01, 0x4E00, 0x3042))
+    for word in (thai, han + kana, "x" * 1000, han + "word" + thai, "a1b2-c"):
+        assert "".join(language.units(word)) == "".join(c for c in word if c.isalpha())
+    assert language.units("Donaudampfschiffahrtsgesell") == ["donaudampfsch", "iffahrtsgesell"]
+    assert language.units("\u4e2d\u6587word") == ["\u4e2d\u6587", "word"] and language.units("12") == []
+    rng = np.random.default_rng(6)
+
+    def run(at, n):
+        return "".join(chr(at + x) for x in rng.integers(0, 60, n))
+
+    a, b = 0x4E00, 0x5E00
+    model = language.fit([run(a, 900) for _ in range(8)] + [run(b, 900) for _ in range(8)], ["a"] * 8 + ["b"] * 8)
+    got = [w[1] for w in language.label_words(model, run(a, 400) + run(b, 1200))]
+    assert len(got) == 400 and got[:98] == ["a"] * 98 and got[102:] == ["b"] * 298
+    assert language.Labeller(model).documents([run(a, 400) + run(b, 1200), run(a, 90) + " 1"])[0][0] == "b"
+
+
+def test_more_than_64_languages():
+    names = [f"l{i:02}" for i in range(70)]
+    texts = [" ".join([f"{chr(97 + i // 26)}{chr(97 + i % 26)}" * 3] * 6) for i in range(70)]
+    model = language.fit(texts * 2, names * 2, epochs=4)
+    assert sorted(set(model.lexicon[1].tolist())) == list(range(70))
+    found = language.word_features([texts[i].split()[0] for i in range(70)], model.lexicon, 70)[:, -1]
+    assert found.tolist() == [(1 << 16) + i for i in range(70)] and found.max() < len(model.weights) - 1
+    assert [x[0] for x in language.Labeller(model).documents(texts)] == names
+
+
 def test_packing(docs, empty):
     got = packing.pack_documents(docs)
     assert got.where("doc_id = 4").count() == 2 and got.where("doc_id = 1").first().length == 1

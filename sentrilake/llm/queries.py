@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrilake.llm import covertree, jaccard, language, linkgraph, mixing, packing, quality, templates, token_store, warc
+from sentrilake.llm import (
+    covertree, jaccard, language, linkgraph, mixing, packing, quality, templates, token_store, transducer, warc,
+)
 from sentrilake.session import cut
 
 
@@ -67,6 +69,16 @@ def license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = transducer.decode_documents(transducer.encode_documents(table(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": ngram_jaccard,
     "op2_token_ids": token_ids,
@@ -78,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_normaliser": warc_normaliser,
     "op9_source_mixing": source_mixing,
     "op10_license_templates": license_templates,
+    "op13_bpe_transducer": bpe_transducer,
 }
 
 #: SQL of the queries that SQL can express.

@@ -48,6 +48,14 @@ def jaccard(docs):
     return [(docs[i][0], len(sets[i]), docs[found[i]][0]) for i in range(len(docs))]
 
 
+def library():
+    """The byte-level vocabulary as the tokenizers library reads it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def token_rows(docs, end_id=0):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import zlib
 from collections import defaultdict
@@ -130,3 +131,14 @@ def test_license_templates(spark):
     assert sorted(got, key=repr) == sorted(((d, *brute.license_base(t)) for d, t in rows("documents", "doc_id", "text")), key=repr)
     for labels, base, score in run(spark, "op10_license_templates", "labels", "base_labels", "score"):
         assert set(filter(None, base.split(","))) <= set(labels.split(",")) and 0 <= score <= 1
+
+
+def test_bpe_transducer(spark):
+    got = run(spark, "op13_bpe_transducer", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    library = brute.library()
+    want = []
+    for d, text in rows("documents", "doc_id", "text"):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        texts = ",".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)
+        want.append((d, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in texts)))
+    assert sorted(got) == sorted(want)

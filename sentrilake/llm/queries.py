@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrilake.llm import (
-    covertree, jaccard, language, linkgraph, mixing, packing, quality, templates, token_store, transducer, warc,
+    alignment, covertree, hard_negatives, jaccard, language, linkgraph, mixing, packing, quality, templates, token_store, transducer, warc,
 )
 from sentrilake.session import cut
 
@@ -69,6 +69,19 @@ def license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
+def negatives_l2ap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    scaled = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 256).cast("double"))
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = table(spark, sf_dir, "embeddings").where(finite)
+    return hard_negatives.mine_negatives(hard_negatives.participants(rows, vec_id, moved, scaled), F.col("vec_id") % 100 == 0)
+
+
 def bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = transducer.decode_documents(transducer.encode_documents(table(spark, sf_dir, "documents")))
     return rows.select(
@@ -90,11 +103,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_normaliser": warc_normaliser,
     "op9_source_mixing": source_mixing,
     "op10_license_templates": license_templates,
+    "op11_galloping_alignment": galloping_alignment,
+    "op12_hard_negatives": negatives_l2ap,
     "op13_bpe_transducer": bpe_transducer,
 }
 
 #: SQL of the queries that SQL can express.
 SQL: dict[str, str] = {
+    "op12_hard_negatives": """WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same,
+    CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM r AS a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) <= 10""",
     "op8_warc_normaliser": """WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
 g AS (SELECT body, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY body)

@@ -56,6 +56,61 @@ def library():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def pieces():
+    import public_tokenizers
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def byte_ranges(ids, data):
+    """(first byte, end) of tokens with the given bytes."""
+    out, at = [], 0
+    for i in ids:
+        out.append((at, at + len(data[i])))
+        at += len(data[i])
+    return out
+
+
+def alignments(docs):
+    """docs: (doc_id, text). All pairs of tokens are compared."""
+    import base64
+
+    import public_tokenizers
+
+    a_model, b_model = library(), pieces()
+    a_model.encode_special_tokens = True
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        a_bytes = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, file)}
+    names = [b_model.id_to_piece(i) for i in range(b_model.get_piece_size())]
+    b_bytes = [bytes([int(x[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", x) else x.replace("\u2581", " ").encode() for x in names]
+    texts, count = [], Counter()
+    for d, text in docs:
+        whole = f" {text}".encode() if text else b""
+        a = a_model.encode(whole.decode(), add_special_tokens=False).ids if whole else []
+        b = b_model.encode(text) if whole else []
+        if b"".join(a_bytes[i] for i in a) != whole or b"".join(b_bytes[i] for i in b) != whole:
+            a, b = [], []
+        at_a, at_b = byte_ranges(a, a_bytes), byte_ranges(b, b_bytes)
+        links = [(x, y) for x, (i, j) in zip(a, at_a) for y, (k, m) in zip(b, at_b) if max(i, k) < min(j, m)]
+        ends = sorted({j for _, j in at_a} & {j for _, j in at_b})
+        groups, last = [], 0
+        for end in ends:
+            both = [",".join(str(x) for x, (_, j) in zip(ids, at) if last < j <= end) for ids, at in ((a, at_a), (b, at_b))]
+            groups.append("|".join(both))
+            last = end
+        count.update(links)
+        texts.append((d, len(a), len(b), len(ends), links, ";".join(groups)))
+    most = Counter()
+    for (_, y), n in count.items():
+        most[y] = max(most[y], n)
+    return [
+        (d, n, m, k, len(links), sum(count[x] == most[x[1]] for x in links), sum(count[x] for x in links),
+         hashlib.sha256(groups.encode()).hexdigest() if groups else "")
+        for d, n, m, k, links, groups in texts
+    ]
+
+
 def token_rows(docs, end_id=0):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -136,6 +191,19 @@ def vector_links(rows, threshold=0.93):
     return [(rows[i][0], count[i], rows[found[i]][0], found[i] == i) for i in range(len(rows))]
 
 
+def negatives(rows, divisor=100, positives=5, negatives=10):
+    """rows: (vec_id, vector of whole numbers, label)."""
+    out = []
+    for a, x, own in rows:
+        if a % divisor:
+            continue
+        scores = [(-sum(p * q for p, q in zip(x, y)), b, label) for b, y, label in rows if b != a]
+        for top, positive in sorted((s, b) for s, b, label in scores if label == own)[:positives]:
+            fit = sorted((s, b) for s, b, label in scores if label != own and 30 * -top <= 100 * -s <= 90 * -top)
+            out += [(a, positive, rank, b, -top, -s) for rank, (s, b) in enumerate(fit[:negatives], 1)]
+    return sorted(out)
+
+
 def mix_targets(sizes):
     """sizes: {source: words}."""
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import zlib
 from collections import defaultdict
@@ -10,6 +11,7 @@ from collections import defaultdict
 import pyarrow.parquet as pq
 import pytest
 
+from sentrilake.llm import alignment
 from sentrilake.llm.queries import QUERIES
 from tests.llm import brute
 
@@ -142,3 +144,24 @@ def test_bpe_transducer(spark):
         texts = ",".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)
         want.append((d, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in texts)))
     assert sorted(got) == sorted(want)
+
+
+def test_hard_negatives(spark):
+    columns = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    got = run(spark, "op12_hard_negatives", *columns)
+    table = rows("embeddings", "vec_id", "embedding", "label")
+    moved = [(d, [math.floor(256 * float(x)) for x in v], (b + 1) % 10 if d % 7 == 0 else b)
+             for d, v, b in table if v is not None and b is not None]
+    assert sorted(got) == brute.negatives(moved) and got
+
+
+def test_galloping_alignment(spark):
+    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    docs = rows("documents", "doc_id", "text")
+    got, short = run(spark, "op11_galloping_alignment", *columns), [x for x in docs if len(x[1] or "") < 3000]
+    # All pairs of tokens are compared, so the sums over the corpus are those of the short texts.
+    df = spark.createDataFrame(short, "doc_id long, text string")
+    want = brute.alignments(short)
+    assert sorted(map(tuple, alignment.align_documents(df).select(*columns).collect())) == sorted(want)
+    whole = {x[0]: (*x[1:5], x[7]) for x in got}
+    assert len(got) == len(docs) and all(whole[x[0]] == (*x[1:5], x[7]) for x in want)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from sentrilake.llm.components import connected_components
 from sentrilake.llm.scratch import Scratch
+from sentrilake.llm.slices import slices
 from sentrilake.session import cut
 
 WORDS = 5
@@ -124,8 +125,7 @@ def parity_map(hashes: np.ndarray) -> np.ndarray:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
-        for at in range(0, batch.num_rows, _TASK_TEXTS):
-            part = batch.slice(at, _TASK_TEXTS)
+        for part in slices(batch, rows=_TASK_TEXTS):
             yield part, [x or b"" for x in part["text"].cast(pa.binary()).to_pylist()]
 
 
@@ -396,8 +396,8 @@ def keep_representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:
     found = join_documents(docs, words)
     kept = found.where(F.col("doc_id") == F.col("component_id"))
     kept = cut(kept.groupBy(F.col("doc_id").alias("kept_id")).agg(F.min(F.col("n_shingles")).alias("least")))
-    rows = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("kept_id"))
-    with_words = rows.where("least > 0").dropDuplicates(["doc_id", "text"])
-    empty = rows.where("least = 0")
-    nameless = docs.where("doc_id IS NULL")
-    return with_words.select(*docs.columns).unionByName(empty.select(*docs.columns)).unionByName(nameless)
+    own = docs.select(F.struct(*docs.columns).alias("doc"))  # their names cannot clash with those of ``kept``
+    named = own.where("doc.doc_id IS NOT NULL").join(kept, F.col("doc.doc_id") == F.col("kept_id"))
+    with_words = named.where("least > 0").select("doc.*").dropDuplicates(["doc_id", "text"])
+    empty = named.where("least = 0").select("doc.*")
+    return with_words.unionByName(empty).unionByName(docs.where("doc_id IS NULL"))

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentrilake.llm.slices import text_slices
+
 UNKNOWN = "und"
 PER_LANGUAGE = 150
 LEAST_SCORE = 0.35
@@ -36,8 +38,10 @@ _BITS = 16
 _LETTERS = 24
 _LETTER_RUN = re.compile(r"[^\W\d_]+")
 _PIECE, _SEQUENCE = 40, 80
-_GROUP_WORDS = 400_000
-_KNOWN_WORDS = 300_000
+#: Units whose posteriors are held at once, words that a task remembers, and bytes of the texts it splits at once.
+_GROUP_WORDS = 100_000
+_KNOWN_WORDS = 200_000
+_SLICE_BYTES = 2 << 20
 
 
 #: Letters of a script, and the most letters of a unit in it: few where no spaces part the words.
@@ -295,14 +299,14 @@ class Labeller:
             rows = np.array([r for x in rows.tolist() for r in (self.several[-2 - x] if x < -1 else (x,))], np.int64)
         return rows[rows >= 0]
 
-    def posteriors(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text the posterior of each of its units."""
+    def posteriors(self, texts: list[str]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        """Numbers of texts and, for each, the posterior of each of its units; a bounded number of units, or one text,
+        at a time. Texts without a unit are left out."""
         split = [t.split() for t in texts]
         self._learn(split)
-        rows = [self._rows(w) for w in split]
-        order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
-        out: list[np.ndarray] = [np.zeros((0, len(self.model.languages)), np.float32)] * len(rows)
-        order = [i for i in order if len(rows[i])]
+        rows = [self._rows(split[i]) for i in range(len(split))]
+        del split
+        order = [i for i in sorted(range(len(rows)), key=lambda i: -len(rows[i])) if len(rows[i])]
         at = 0
         while at < len(order):
             size, end = 0, at
@@ -312,22 +316,17 @@ class Labeller:
             group = order[at:end]
             lengths = np.array([len(rows[i]) for i in group])
             found = forward_backward(self.table[np.concatenate([rows[i] for i in group])], lengths, self.model.transitions)
-            for i, part in zip(group, np.split(found, np.cumsum(lengths)[:-1])):
-                out[i] = part
+            yield group, np.split(found, np.cumsum(lengths)[:-1])
             at = end
-        return out
 
     def documents(self, texts: list[str]) -> list[tuple[str, float]]:
-        if not self.model.languages:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        out = []
-        for found in self.posteriors(texts):
-            if not len(found):
-                out.append((UNKNOWN, 0.0))
-                continue
-            share = found.sum(axis=0, dtype=np.float64) / len(found)
-            best = int(share.argmax())
-            out.append((self.model.languages[best], min(1.0, float(share[best]))))
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        if self.model.languages:
+            for group, found in self.posteriors(texts):
+                for i, posterior in zip(group, found):
+                    share = posterior.sum(axis=0, dtype=np.float64) / len(posterior)
+                    best = int(share.argmax())
+                    out[i] = self.model.languages[best], min(1.0, float(share[best]))
         return out
 
 
@@ -335,29 +334,22 @@ def label_words(model: Model, text: str) -> list[tuple[str, str, float]]:
     """(word, language, posterior) of a text's words with a letter, or of the units of those with several."""
     split = [(w, units(w)) for w in text.split()]
     words = [x for w, found in split for x in ([w] if len(found) == 1 else found)]
-    found = Labeller(model).posteriors([text])[0]
+    found = next((x[0] for _, x in Labeller(model).posteriors([text])), [])
     return [(w, model.languages[int(p.argmax())], float(p.max())) for w, p in zip(words, found)]
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for at in range(0, batch.num_rows, 2000):
-        part = batch.slice(at, 2000)
-        yield part, [x or "" for x in part["text"].to_pylist()]
-
-
 def predict_language(docs: DataFrame, model: Model) -> DataFrame:
     """Language of every row of ``docs`` (doc_id, text). One pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # size: features x languages of the sample
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
-        for batch in batches:
-            for part, texts in _parts(batch):
-                found = labeller.documents(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array([x[0] for x in found]), pa.array([x[1] for x in found])],
-                    ["doc_id", "lang_pred", "score"],
-                )
+        for part, texts in text_slices(batches, size=_SLICE_BYTES):
+            found = labeller.documents(texts)
+            yield pa.RecordBatch.from_arrays(
+                [part["doc_id"], pa.array([x[0] for x in found]), pa.array([x[1] for x in found])],
+                ["doc_id", "lang_pred", "score"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
@@ -368,9 +360,8 @@ def keep_language(docs: DataFrame, model: Model, least_score: float = LEAST_SCOR
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
-        for batch in batches:
-            for part, texts in _parts(batch):
-                found = labeller.documents(texts)
-                yield part.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in found], pa.bool_()))
+        for part, texts in text_slices(batches, size=_SLICE_BYTES):
+            found = labeller.documents(texts)
+            yield part.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrilake.llm import tokens
+from sentrilake.llm.slices import slices
 from sentrilake.session import cut
 
 CAPACITY = 1024
@@ -41,8 +42,7 @@ def cut_tokens(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
         encoder = tokens.encoder(tokenizer or tokens.default_tokenizer())
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, _TASK_TEXTS):
-                part = batch.slice(at, _TASK_TEXTS)
+            for part in slices(batch, rows=_TASK_TEXTS):
                 out = []
                 for doc, found in zip(part["doc_id"].to_pylist(), encoder(part["text"].to_pylist())):
                     ids = np.frombuffer(found + end, "<u2").astype("<u4")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentrilake.llm.slices import slices
+
 
 @dataclass(frozen=True)
 class Bands:
@@ -127,10 +129,9 @@ def judge_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _judge(batch["text"], bands)
-            columns = [pa.array(c, t) for c, t in zip(zip(*found), _FIGURES.values())] if found else [
-                pa.array([], t) for t in _FIGURES.values()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", *_FIGURES])
+            for part in slices(batch):
+                columns = [pa.array(c, t) for c, t in zip(zip(*_judge(part["text"], bands)), _FIGURES.values())]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], ["doc_id", *_FIGURES])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(judge, _SCHEMA)
@@ -141,6 +142,7 @@ def keep_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([x[6] for x in _judge(batch["text"], bands)], pa.bool_()))
+            for part in slices(batch):
+                yield part.filter(pa.array([x[6] for x in _judge(part["text"], bands)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -300,29 +300,35 @@ class Rules:
     def units(self, units: list[str], exact: bool, out: list[bytes]) -> None:
         """Append the ids of whole units."""
         for unit in units:
-            if not exact and _newer(unit):
-                raise NewerCharacters
-            out.append(packed(self.merge(unit.encode())))
+            ids = self._pieces.known.get(unit[1:]) if unit[0] == " " else None
+            if ids is None:
+                if not exact and _newer(unit):
+                    raise NewerCharacters
+                ids = packed(self.merge(unit.encode()))
+            out.append(ids)
 
     def pieces(self, pieces: list[str], out: list[bytes]) -> bool:
         """Append the ids of pieces that stand behind a space each. False, with nothing of use in ``out``, if one is
         empty or begins with white space: then its space is part of a run."""
-        known = self._pieces.known
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                if not piece or piece[0].isspace():
-                    return False
-                ids = self._pieces.get(piece)
-                if ids is None:
-                    found: list[bytes] = []
-                    self.units(_UNITS.findall(" " + piece), False, found)
-                    ids = b"".join(found)
-                    self._pieces.put(piece, ids)
-                known = self._pieces.known
-            out.append(ids)
+        found = list(map(self._pieces.known.get, pieces))
+        if None in found:
+            for i, piece in enumerate(pieces):
+                if found[i] is None:
+                    if not piece or piece[0].isspace():
+                        return False
+                    found[i] = self._piece(piece)
+        out += found
         return True
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self._pieces.get(piece)
+        if ids is None:
+            found: list[bytes] = []
+            self.units(_UNITS.findall(" " + piece), False, found)
+            ids = b"".join(found)
+            self._pieces.put(piece, ids)
+        return ids
+
 
 class RunWindow:
     """Ids of one unit that arrives in parts: the window holds the lookahead and at most ``_WINDOW`` bytes more."""

@@ -15,7 +15,7 @@ DOCS = [
     (1, None, "en", "a"), (2, "", None, None), (3, " \n\t ", "en", "a"), (4, "a b", "en", "b"), (4, "a b", "en", "b"),
     (None, "x y z", "fr", None), (5, LONG, "en", "b"), (6, LONG + " end", "fr", "c"), (7, "12 34 !!", "fr", "c"),
 ]
-CLASH = ["n_words", "size", "node", "row", "length", "keys", "begin", "score", "place"]
+CLASH = ["least", "kept_id", "doc", "n_words", "size", "node", "row", "length", "keys", "begin", "score", "place"]
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrilake.functions.fields import process_name
@@ -12,55 +12,60 @@ from sentrilake.sources.rules import Rule
 
 KEY = "artifact_id"
 
+#: (lowest score, tier, step that closes the list of actions). ``{}`` stands for the root program.
+TIERS = (
+    (75, "respond", "Contain the machine first, then follow what {} left behind."),
+    (40, "review", "Give the connections and file writes of {} to an analyst."),
+    (0, "archive", "Keep the record; nothing else is due."),
+)
+
+
+def _by_tier(risk: Column, values: list[Column]) -> Column:
+    out = values[-1]
+    for (least, _, _), value in reversed(list(zip(TIERS, values))[:-1]):
+        out = F.when(risk >= least, value).otherwise(out)
+    return out
+
 
 def explain_incidents(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Summary, observations, actions and rule texts, one row per session."""
+    """Summary, observations, actions and rule texts, one row per session.
+
+    Observations name the alerts from the highest score down, then the tier; actions give their remediations, then
+    the tier's own step.
+    """
     root = F.min_by(process_name(), F.col("seq")).alias("root_process")
     scanned = scan(events, rules, [KEY], [root]).withColumn("risk_score", risk_score())
     risk, root = F.col("risk_score"), F.col("root_process")
-    score = F.concat(F.lit(" (risk score "), risk.cast("string"), F.lit("/100)."))
-    tier = (
-        F.when(risk >= 75, F.concat(F.lit("Critical threat found"), score))
-        .when(risk >= 40, F.concat(F.lit("Suspicious activity found"), score))
-        .otherwise("No clear malicious pattern; the activity is within normal limits.")
-    )
-    per_alert = F.flatten(
+    # The place of a rule in the rule set decides between equal scores.
+    ranked = F.sort_array(
         F.transform(
-            "alerts",
-            lambda a: F.array_compact(
-                F.array(
-                    F.concat(F.lit("Rule: "), a["rule_id"], F.lit(" - "), a["title"]),
-                    F.concat(F.lit("MITRE ATT&CK technique: "), a["mitre_technique"]),
-                )
-            ),
-        )
-    )
-    first_actions = (
-        F.when(
-            risk >= 75,
-            F.array(
-                F.lit("Isolate the affected host from the network at once."),
-                F.concat(F.lit("Stop '"), root, F.lit("' and the processes it started.")),
-            ),
+            "alerts", lambda a: F.struct((-a["score"]).alias("low"), a["rule_index"].alias("place"), a.alias("alert"))
         )
-        .when(risk >= 40, F.array(F.lit("Watch the network and file access of the process.")))
-        .otherwise(F.array(F.lit("Continue routine logging.")))
     )
-    remediations = F.filter(
-        F.transform("alerts", lambda a: a["remediation"]), lambda text: text != ""
+    scanned = scanned.withColumn("alerts", F.transform(ranked, lambda r: r["alert"]))
+    findings = F.transform(
+        "alerts",
+        lambda a: F.concat(
+            a["rule_id"], F.lit(" ("), F.lower(a["severity"]), F.lit(", "), a["matched_events"].cast("string"),
+            F.lit(" events): "), a["title"],
+            F.coalesce(F.concat(F.lit("; compare "), a["mitre_technique"]), F.lit("")),
+        ),
     )
+    tier = _by_tier(risk, [F.lit(name) for _, name, _ in TIERS])
+    rated = F.concat(F.lit("Score "), risk.cast("string"), F.lit(" of 100, tier "), tier)
+    steps = F.filter(F.transform("alerts", lambda a: a["remediation"]), lambda text: text != "")
+    last = _by_tier(risk, [F.replace(F.lit(step), F.lit("{}"), root) for _, _, step in TIERS])
     summary = F.concat(
-        F.lit("Process '"), root, F.lit("' generated "), F.col("total_events").cast("string"),
-        F.lit(" events. The risk score is "), risk.cast("string"), F.lit("/100 with "),
-        F.size("alerts").cast("string"), F.lit(" triggered rules."),
+        root, F.lit(": "), F.size("alerts").cast("string"), F.lit(f" of {len(rules)} rules matched in "),
+        F.col("total_events").cast("string"), F.lit(" events"),
     )
     return scanned.select(
         KEY,
         "root_process",
         "risk_score",
         summary.alias("summary"),
-        F.concat(F.array(tier), per_alert).alias("observations"),
-        F.concat(first_actions, remediations).alias("actions"),
+        F.array_append(findings, rated).alias("observations"),
+        F.array_append(F.array_distinct(steps), last).alias("actions"),
         F.lit(0.95).alias("confidence"),
         yara_rule(F.col(KEY), root, risk).alias("yara_rule"),
         sigma_rule(F.col(KEY), root, risk).alias("sigma_rule"),

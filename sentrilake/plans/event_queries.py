@@ -373,7 +373,8 @@ def _beacons(keys: list[str]):
             *keys, "sample_count", "target",
             F.round("mean_interval_seconds", 4).alias("mean_interval_seconds"),
             F.round("jitter_percentage", 4).alias("jitter_percentage"),
-            "is_beaconing", "confidence",
+            "is_beaconing", "confidence", "suricata_rule",
+            F.regexp_replace("snort_rule", "jitter [0-9.]+ percent", "jitter").alias("snort_rule"),
         )
 
     return run
@@ -384,7 +385,12 @@ def _beacon_sql(keys: str) -> str:
         f"""SELECT {keys}, sample_count, target, round(m, 4) AS mean_interval_seconds,
   round(100 * s / m, 4) AS jitter_percentage,
   m BETWEEN 1 AND 600 AND 100 * s / m <= 35 AS is_beaconing,
-  CASE WHEN m BETWEEN 1 AND 600 AND 100 * s / m <= 35 THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence
+  CASE WHEN m BETWEEN 1 AND 600 AND 100 * s / m <= 35 THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence,
+  'alert tcp any any -> ' || regexp_replace(target, ':[0-9]+$', '') || ' any (msg:"sentrilake: host calls back at even intervals"; '
+    || 'flow:to_server,established; threshold:type both, track by_src, count 5, seconds ' || CAST(floor(m * 5) AS BIGINT)
+    || '; classtype:bad-unknown; sid:4710011; rev:1;)' AS suricata_rule,
+  'alert ip $HOME_NET any -> ' || regexp_replace(target, ':[0-9]+$', '') || ' any (msg:"sentrilake: even call-backs, jitter"; '
+    || 'detection_filter:track by_src, count 5, seconds ' || CAST(floor(m * 5) AS BIGINT) || '; sid:4710012; rev:1;)' AS snort_rule
 FROM heads JOIN (SELECT {keys}, avg(gap) AS m, stddev_pop(gap) AS s FROM gaps WHERE gap > 0
   GROUP BY {keys} HAVING count(*) >= 2) USING ({keys}) WHERE sample_count >= 3""",
         more=f"""connects AS (
@@ -403,12 +409,47 @@ def _explain(spark: SparkSession, d: str) -> DataFrame:
     out = explain.explain_incidents(daily_events(spark, d), RULES)
     return out.select(
         "artifact_id", "root_process", "risk_score", "summary",
-        F.size("observations").alias("observations"), F.size("actions").alias("actions"),
-        F.md5("yara_rule").alias("yara_md5"),
-        F.substring_index("sigma_rule", "level: ", -1).alias("sigma_level"),
+        F.md5(F.array_join("observations", "\n")).alias("observations_md5"),
+        F.md5(F.array_join("actions", "\n")).alias("actions_md5"),
+        F.md5("yara_rule").alias("yara_md5"), F.md5("sigma_rule").alias("sigma_md5"),
     )
 
 
+def _explain_sql() -> str:
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    rules = ", ".join(f"({text(r.id)}, {text(r.title)}, {text(r.remediation)}, {i})" for i, r in enumerate(RULES))
+    tiers = " ".join(f"WHEN risk_score >= {least} THEN {text(tier)}" for least, tier, _ in explain.TIERS)
+    steps = " ".join(
+        f"WHEN risk_score >= {least} THEN replace({text(step)}, '{{}}', root_process)" for least, _, step in explain.TIERS
+    )
+    return f"""SELECT r.artifact_id, root_process, risk_score,
+  root_process || ': ' || alert_count || ' of {len(RULES)} rules matched in ' || total_events || ' events' AS summary,
+  md5(concat_ws(chr(10), findings, 'Score ' || risk_score || ' of 100, tier ' || CASE {tiers} END)) AS observations_md5,
+  md5(concat_ws(chr(10), remediations, CASE {steps} END)) AS actions_md5,
+  md5('rule sentrilake_session_' || substr(r.artifact_id, 1, 8) || chr(10) || '{{' || chr(10)
+    || '  meta:' || chr(10) || '    session = "' || r.artifact_id || '"' || chr(10)
+    || '    risk = ' || risk_score || chr(10) || '  strings:' || chr(10)
+    || '    $root_program = "' || root_process || '"' || chr(10) || '  condition:' || chr(10)
+    || '    $root_program' || chr(10) || '}}') AS yara_md5,
+  md5('title: Program of a risky session - ' || root_process || chr(10) || 'id: '
+    || regexp_replace(md5('sigma:' || r.artifact_id), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')
+    || chr(10) || 'status: experimental' || chr(10)
+    || 'description: Starts of the root program of a session that the rule scan rated' || chr(10)
+    || 'logsource:' || chr(10) || '  category: process_creation' || chr(10) || 'detection:' || chr(10)
+    || '  selection:' || chr(10) || '    Image|endswith: ''' || root_process || '''' || chr(10)
+    || '  condition: selection' || chr(10) || 'level: '
+    || CASE WHEN risk_score >= 75 THEN 'critical' ELSE 'high' END || chr(10)) AS sigma_md5
+FROM risk r JOIN (SELECT artifact_id, arg_min(process_name, num_id) AS root_process FROM ev GROUP BY 1) USING (artifact_id)
+LEFT JOIN (SELECT artifact_id,
+    string_agg(rule_id || ' (' || lower(severity) || ', ' || matched_events || ' events): ' || title || '; compare ' || technique,
+      chr(10) ORDER BY score DESC, place) AS findings,
+    string_agg(remediation, chr(10) ORDER BY score DESC, place) AS remediations
+  FROM fired JOIN (VALUES {rules}) AS known(rule_id, title, remediation, place) USING (rule_id)
+  GROUP BY 1) USING (artifact_id)"""
+
+
 def _sarif(spark: SparkSession, d: str) -> DataFrame:
     docs = sinks.to_sarif(daily_events(spark, d), RULES)
     return docs.select(
@@ -1001,19 +1042,7 @@ FROM ev WHERE new_permissions = 'PAGE_EXECUTE_READWRITE'"""),
     "explain_incidents": Query(
         _explain,
         with_events(
-            """SELECT r.artifact_id, root_process, risk_score,
-  'Process ''' || root_process || ''' generated ' || total_events || ' events. The risk score is '
-    || risk_score || '/100 with ' || alert_count || ' triggered rules.' AS summary,
-  1 + 2 * alert_count AS observations,
-  CASE WHEN risk_score >= 75 THEN 2 ELSE 1 END + alert_count AS actions,
-  md5('rule sentrilake_session_' || substr(r.artifact_id, 1, 8) || chr(10) || '{' || chr(10)
-    || '  meta:' || chr(10) || '    session = "' || r.artifact_id || '"' || chr(10)
-    || '    risk = ' || risk_score || chr(10) || '  strings:' || chr(10)
-    || '    $root_program = "' || root_process || '"' || chr(10) || '  condition:' || chr(10)
-    || '    $root_program' || chr(10) || '}') AS yara_md5,
-  CASE WHEN risk_score >= 75 THEN 'critical' ELSE 'high' END || chr(10) AS sigma_level
-FROM risk r JOIN (SELECT artifact_id, arg_min(process_name, num_id) AS root_process FROM ev
-  GROUP BY 1) USING (artifact_id)""",
+            _explain_sql(),
             daily=True, more=f"{_SCAN_SQL}, {_RISK_SQL}",
         ),
     ),

@@ -106,8 +106,15 @@ def test_dga_queries(make):
 def test_explain(make):
     row = explain.explain_incidents(make(connect(exe="/bin/sh")), builtin_rules()).first()
     assert row.root_process == "sh" and row.risk_score == 75
-    assert row.observations[1] == "Rule: SEC-002 - Outbound connection to an external address"
-    assert len(row.actions) == 3 and "level: critical" in row.sigma_rule
+    assert row.observations == [
+        "SEC-002 (high, 1 events): Outbound connection to an external address; compare T1059: Command and Scripting Interpreter",
+        "Score 75 of 100, tier respond",
+    ]
+    assert row.actions[0] == "Check the remote address and the command line of the process."
+    assert row.actions[1:] == ["Contain the machine first, then follow what sh left behind."]
+    assert "level: critical" in row.sigma_rule
+    quiet = explain.explain_incidents(make(opened("/a")), builtin_rules()).first()
+    assert quiet.observations == ["Score 0 of 100, tier archive"] and len(quiet.actions) == 1
 
 
 def test_destinations_in_text_order(make):

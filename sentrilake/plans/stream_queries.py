@@ -107,6 +107,19 @@ def _watch(spark: SparkSession, d: str, what: str) -> DataFrame:
     return watch.snapshots(spark).select("host_id", "event_id", "event_type")
 
 
+def _watch_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Events in three batches, by the number of the source row."""
+    path = shared_path(spark, "feed")
+    lines = _lines(session_events(spark, d))
+    for part in range(3):
+        lines.where(F.col("k") % 3 == part).select("value").coalesce(1).write.mode("append").text(path)
+    watch = RiskWatch(shared_path(spark, "watch"), buffer=WATCH_BUFFER)
+    events = feed.accepted_events(read_events_stream(spark, path, max_files_per_trigger=1))
+    watch.start(events, shared_path(spark, "progress"), once=True).awaitTermination()
+    return watch.incidents(spark).select(
+        "batch", "host_id", "total_events", F.array_join("fired_rules", ",").alias("fired_rules"), "risk_score")
+
+
 def _rules_sql(keys: str, source: str) -> str:
     """Fired rules and risk per group of ``source``."""
     return f"""SELECT {keys}, n AS total_events, concat_ws(',',
@@ -163,6 +176,17 @@ WHERE window_start + {_SIX_HOURS} <= (SELECT epoch_us(max(ts)) - 600000000 FROM
         lambda s, d: _watch(s, d, "incidents"),
         with_events("SELECT * FROM incidents", more=f"{_LAST_SQL}, {_INCIDENTS_SQL}"),
     ),
+    "stream_risk_watch_batches": Query(
+        _watch_batches,
+        with_events(
+            f"SELECT * FROM ({_rules_sql('batch, host_id', 'lasts')}) WHERE risk_score >= 75",
+            more=f"""arrived AS (SELECT *, k % 3 AS part FROM ev),
+active AS (SELECT DISTINCT host_id, part AS batch FROM arrived),
+lasts AS (SELECT * FROM (SELECT a.batch, e.*, row_number() OVER (PARTITION BY a.host_id, a.batch
+    ORDER BY ts DESC, num_id DESC, event_id DESC) AS rn
+  FROM active a JOIN arrived e ON e.host_id = a.host_id AND e.part <= a.batch) WHERE rn <= {WATCH_BUFFER})""",
+        ),
+    ),
     "stream_risk_snapshots": Query(
         lambda s, d: _watch(s, d, "snapshots"),
         with_events(

@@ -10,7 +10,8 @@ from sentrilake.functions.predicates import pred
 from sentrilake.sources.events import read_events_stream
 from sentrilake.sources.rules import builtin_rules
 from sentrilake.streaming import feed
-from sentrilake.streaming.watch import RiskWatch, last_events
+from sentrilake.operators.detect import criterion_counts, risk_report
+from sentrilake.streaming.watch import HostBuffer, RiskWatch, newest_per_task, watch_entries
 from tests.conftest import connect, crypto, opened, wrote
 
 
@@ -49,24 +50,66 @@ def test_duplicates(make):
     assert feed.drop_duplicate_events(events.unionByName(events)).count() == 2
 
 
-def test_last_events(make):
-    events = make(*[opened(f"/{i}") for i in range(50)])
-    kept = last_events(events, 7, slices=3)
-    assert sorted(r.seq for r in kept.collect()) == list(range(43, 50))
+def test_newest_per_task(spark, make):
+    events = make(*[opened(f"/{i}", host=f"h{i % 2}") for i in range(50)])
+    entries = watch_entries(events, builtin_rules(), "host_id").repartition(3)
+    got = newest_per_task(entries, 4)
+    assert got.schema == entries.schema and got.count() <= 24
+    best = {r.event_id for r in entries.orderBy(F.desc("wall")).limit(8).collect()}
+    assert best <= {r.event_id for r in got.collect()}
+    assert newest_per_task(entries.where("false"), 4).count() == 0
 
 
 def test_watch_over_batches(spark, make, tmp_path):
     watch = RiskWatch(str(tmp_path / "w"), buffer=3)
-    first = make(wrote("/a", at=1, id="e1"), opened("/b", at=2, id="e2"))
-    second = make(crypto(at=3, id="e3"), opened("/c", at=3, id="x1", host="quiet"))
-    third = make(opened("/d", at=4, id="e4"))
-    for i, batch in enumerate((first, second, third)):
-        watch.process(batch, i)
-    watch.process(third, 2)  # a repeated batch changes nothing
+    batches = [
+        make(wrote("/a", at=1, id="e1"), opened("/b", at=2, id="e2")),
+        make(crypto(at=3, id="e3"), opened("/c", at=3, id="x1", host="quiet")),
+        make(opened("/d", at=4, id="e4")),
+    ]
+
+    def run():
+        events = feed.accepted_events(read_events_stream(spark, str(tmp_path / "in"), max_files_per_trigger=1))
+        watch.start(events, str(tmp_path / "ck"), once=True).awaitTermination()
+
+    for i, batch in enumerate(batches):
+        write_lines(batch, tmp_path / "in" / f"{i}.json")
+        run()  # the state outlives the query
+    run()
     incidents = watch.incidents(spark).collect()
     # e1 leaves the buffer of three in the last batch, so the rule stops firing.
-    assert [(r.host_id, r.risk_score, r.batch) for r in incidents] == [("h1", 100, 1)]
-    assert sorted(r.event_id for r in watch.snapshots(spark).collect()) == ["e1", "e2", "e3"]
+    assert [(r.host_id, r.risk_score, r.batch, r.total_events) for r in incidents] == [("h1", 100, 1, 3)]
+    snapshot = watch.snapshots(spark)
+    assert sorted(r.event_id for r in snapshot.collect()) == ["e1", "e2", "e3"]
+    assert snapshot.where("event_id = 'e1'").first().data.payload.path == "/a"
+
+
+def test_only_active_hosts_are_written(spark, make, tmp_path):
+    """The state rows that a batch changes are those of its one active host, and a full list is trimmed."""
+    watch = RiskWatch(str(tmp_path / "w"), buffer=4)
+    hosts = [opened("/a", host=f"h{i}", id=f"a{i}") for i in range(40)]
+    batches = [hosts, *[[opened("/b", host="h7", id=f"b{k}{i}", at=50 + k) for i in range(5)] for k in range(3)]]
+    changed = []
+    for i, batch in enumerate(batches):
+        write_lines(make(*batch), tmp_path / "in" / f"{i}.json")
+        events = feed.accepted_events(read_events_stream(spark, str(tmp_path / "in")))
+        query = watch.start(events, str(tmp_path / "ck"), once=True)
+        query.awaitTermination()
+        changed.append(sum(p.stateOperators[0].numRowsUpdated for p in query.recentProgress if p.stateOperators))
+    assert changed[0] >= 40 and max(changed[1:]) <= 9
+    assert watch.incidents(spark).count() == 0 and watch.snapshots(spark).count() == 0
+
+
+def test_risk_is_that_of_the_scan(make):
+    events = make(wrote("/a"), crypto(), connect(), opened("/etc/sam"), dict(type="SocketCreate", protocol="TCP"))
+    rules = builtin_rules()
+    row = criterion_counts(events, rules).first()
+    assert HostBuffer(rules, 10, 75).risk(list(row.counts)) == risk_report(events, rules).first().risk_score == 100
+    for kept in (["SocketCreate"], ["FileWrite"], ["FileOpen"], []):
+        some = events.where(F.col("event_type").isin("DnsQuery", *kept)) if kept else events.where("false")
+        counts = [0] * 6 if not kept else list(criterion_counts(some, rules).first().counts)
+        want = risk_report(some, rules).first().risk_score if kept else 0
+        assert HostBuffer(rules, 10, 75).risk(counts) == want
 
 
 def test_fleet_stream(spark, tmp_path):

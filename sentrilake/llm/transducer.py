@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrilake.llm.slices import text_slices
+from sentrilake.llm.slices import slices, text_slices
 from sentrilake.llm.tokens import default_tokenizer
 
 #: Characters of a text that a stream takes at once, and of a run from which on it is encoded while it still grows.
@@ -109,9 +109,19 @@ class Cache:
 
     def put(self, key: str, ids: bytes) -> None:
         if len(key) <= _LONGEST_KEY:
-            if len(self.known) >= self.most:
-                self.known, self.older = {}, self.known
-            self.known[key] = ids
+            self.update([key], [ids])
+
+    def update(self, keys: list[str], ids: list[bytes]) -> None:
+        if len(self.known) >= self.most:
+            self.known, self.older = {}, self.known
+        self.known.update(zip(keys, ids))
+
+    def new(self, keys: set[str]) -> set[str]:
+        """Those of ``keys`` that are not remembered; the others are kept for longer."""
+        keys = keys - self.known.keys()
+        again = list(keys & self.older.keys())
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        return keys.difference(again)
 
 
 def packed(ids: list[int]) -> bytes:
@@ -169,6 +179,11 @@ class Rules:
         #: Bytes of each id.
         self.bytes = {i: bytes(alphabet[c] for c in token) for token, i in vocab.items()}
         self.bytes |= {i: token.encode() for token, i in self.specials.items()}
+        # The same as one run of bytes, for whole arrays of ids.
+        self._size = np.zeros(max(self.bytes) + 2, np.int64)  # the last entry is that of ids without a token
+        self._size[list(self.bytes)] = [len(x) for x in self.bytes.values()]
+        self._first = np.cumsum(self._size) - self._size
+        self._run = np.frombuffer(b"".join(self.bytes[i] for i in sorted(self.bytes)), np.uint8)
         self.byte_ids = [0] * 256
         for c, b in alphabet.items():
             self.byte_ids[b] = vocab[c]
@@ -202,6 +217,14 @@ class Rules:
             best[x] = max(best.get(x, 0), chain + len(self.bytes[x]))
         return max(best.values(), default=0)
 
+    def token_bytes(self, ids: np.ndarray) -> bytes:
+        """The joined bytes of ids; those without a token have none."""
+        ids = np.asarray(ids, np.int64)
+        ids = np.where((ids < 0) | (ids >= len(self._size)), len(self._size) - 1, ids)
+        size = self._size[ids]
+        place = np.repeat(self._first[ids] - (np.cumsum(size) - size), size)
+        return self._run[place + np.arange(len(place))].tobytes()
+
     def merge(self, data: bytes) -> list[int]:
         """Ids of bytes that are known in full: merges by rank, then from left to right."""
         ids = [self.byte_ids[b] for b in data]
@@ -242,12 +265,11 @@ class Rules:
                 heapq.heappush(heap, (rank, h))
         return [x for x in ids if x >= 0]
 
-    def merge_many(self, units: list[bytes]) -> list[bytes]:
-        """``merge`` of many short ones at once: every step makes the next merge of each that has one."""
+    def merge_many(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of many short units at once, given as their bytes one after the other and their sizes: every step
+        makes the next merge of each that has one. Returns their ids in the same way."""
         none, merged = len(self.merged), np.array(self.merged, np.int64)
-        data = np.frombuffer(b"".join(units), np.uint8)
-        size = np.array([len(x) for x in units], np.int64)
-        ids, owner = np.array(self.byte_ids, np.int64)[data], np.repeat(np.arange(len(units)), size)
+        ids, owner = np.array(self.byte_ids, np.int64)[data], np.repeat(np.arange(len(size)), size)
         done_ids, done_owner = [], []
         ranks = np.full(len(ids), none)
         inner = np.flatnonzero(owner[:-1] == owner[1:])
@@ -275,27 +297,29 @@ class Rules:
                 ranks[same] = self._pairs(ids[same], ids[same + 1])
         ids, owner = np.concatenate(done_ids or [ids]), np.concatenate(done_owner or [owner])
         order = np.argsort(owner, kind="stable")
-        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(units)))).tolist()
-        found = ids[order].astype("<i4").tobytes()
-        return [found[a:b] for a, b in zip([0, *ends], ends)]
+        return ids[order].astype("<i4"), np.bincount(owner, minlength=len(size))
 
     def learn(self, texts: list[str]) -> None:
         """Remember the pieces of texts that are about to be encoded, all new units merged together."""
-        get = self._pieces.get
-        pieces = [p for p in set().union(*(x.split(" ") for x in texts)) - self._pieces.known.keys()
-                  if p and len(p) <= _LONGEST_KEY and get(p) is None and not p[0].isspace() and not _newer(p)]
+        new = self._pieces.new(set().union(*(x.split(" ") for x in texts)))
+        pieces = [p for p in new if p and len(p) <= _LONGEST_KEY and not p[0].isspace()]
         for at in range(0, len(pieces), _MERGED_AT_ONCE):
             part = pieces[at : at + _MERGED_AT_ONCE]
-            units = _UNITS.findall(" " + " ".join(part))
-            # A unit begins where a space does or inside a piece, so the pieces take them up in order.
-            ids, i = self.merge_many([x.encode() for x in units]), 0
-            for piece in part:
-                j, size = i, -1
-                while size < len(piece):
-                    size += len(units[j])
-                    j += 1
-                self._pieces.put(piece, ids[i] if j == i + 1 else b"".join(ids[i:j]))
-                i = j
+            text = " " + " ".join(part)
+            if _newer(text):
+                part = [p for p in part if not _newer(p)]
+                text = " " + " ".join(part)
+            if not part:
+                continue
+            data = np.frombuffer(text.encode(), np.uint8)
+            first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # bytes that begin a character
+            borders = first[np.cumsum([0, *map(len, _UNITS.findall(text))])]
+            ids, count = self.merge_many(data, np.diff(borders))
+            # A piece has no space inside, so its first unit is the one that begins with a space.
+            begin = np.flatnonzero(data[borders[:-1]] == 0x20)
+            ends = np.append(4 * (np.cumsum(count) - count)[begin], 4 * len(ids)).tolist()
+            found = ids.tobytes()
+            self._pieces.update(part, [found[a:b] for a, b in zip(ends, ends[1:])])
 
     def units(self, units: list[str], exact: bool, out: list[bytes]) -> None:
         """Append the ids of whole units."""
@@ -451,12 +475,11 @@ class DecodeStream:
     """Text of ids given part by part. The state is the beginning of a character whose bytes are not all known."""
 
     def __init__(self, rules: Rules):
-        self.bytes = rules.bytes
+        self.rules = rules
         self.text = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def push(self, ids: list[int | None]) -> str:
-        get = self.bytes.get
-        return self.text.decode(b"".join([get(i, b"") for i in ids]))
+    def push(self, ids: np.ndarray) -> str:
+        return self.text.decode(self.rules.token_bytes(ids))
 
     def finish(self) -> str:
         return self.text.decode(b"", True)
@@ -475,7 +498,8 @@ def encode_text(rules: Rules, text: str) -> np.ndarray:
     raise AssertionError("the exact patterns know every character")
 
 
-def decode_ids(rules: Rules, ids: list[int | None]) -> str:
+def decode_ids(rules: Rules, ids: np.ndarray) -> str:
+    """Text of ids, part by part."""
     stream = DecodeStream(rules)
     return "".join([*(stream.push(ids[at : at + PART]) for at in range(0, len(ids), PART)), stream.finish()])
 
@@ -513,8 +537,10 @@ def decode_documents(rows: DataFrame, tokenizer: str | None = None) -> DataFrame
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = rules(tokenizer)
         for batch in batches:
-            for part, lists in text_slices([batch], "ids"):
-                text = pa.array([decode_ids(known, x) for x in lists], pa.string())
+            for part in slices(batch, "ids"):
+                ids = part["ids"].flatten().fill_null(-1).to_numpy()
+                ends = np.cumsum(part["ids"].value_lengths().fill_null(0).to_numpy()).tolist()
+                text = pa.array([decode_ids(known, ids[a:b]) for a, b in zip([0, *ends], ends)], pa.string())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], text], ["doc_id", "ids", "text"])
 
     chosen = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))

@@ -27,18 +27,20 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sentrilake.functions.fields import event_hash, payload, pid
 from sentrilake.operators.ordering import BUCKET, adjacent_pairs, bucket_of
-from sentrilake.operators.skew import every_slice, salted_join, slice_of, sliced_semi_join
+from sentrilake.operators.skew import every_slice, slice_of, sliced_semi_join
 from sentrilake.session import cut
 
 KEY = "artifact_id"
 # Rounds of a traversal after which its small result tables are merged into one.
 COMPACT_EVERY = 12
+# Positions of a group whose hops into another group are kept as one.
+HOP_BUCKET = 1024
 _EDGE = ["artifact_id", "src", "dst", "kind"]
 
 
@@ -91,9 +93,8 @@ def dns_edges(events: DataFrame) -> DataFrame:
         KEY, payload("remote_address").alias("ip"), F.col("event_id").alias("dst"),
         F.col("ord").alias("connected"),
     )
-    pairs = salted_join(
-        answers, connects, [KEY, "ip"], "src", "dst", F.col("answered") < F.col("connected")
-    )
+    # A busy address is a skewed join, which adaptive execution splits on both sides.
+    pairs = answers.join(connects, [KEY, "ip"]).filter(F.col("answered") < F.col("connected"))
     return pairs.select(KEY, "src", "dst", F.lit("CAUSAL").alias("kind"))
 
 
@@ -111,7 +112,7 @@ def lineage_edges(events: DataFrame, strict: bool = False) -> DataFrame:
         KEY, pid().alias("pid"), F.col("event_id").alias("dst"), F.col("ord").alias("started")
     )
     if not strict:
-        pairs = salted_join(spawns, starts, [KEY, "pid"], "src", "dst")
+        pairs = spawns.join(starts, [KEY, "pid"])
     else:
         pairs = _next_start(spawns, starts)
     return pairs.select(KEY, "src", "dst", F.lit("PROCESS_LINEAGE").alias("kind"))
@@ -294,79 +295,94 @@ def graph_hash(events: DataFrame) -> DataFrame:
     )
 
 
-def _reach(events: DataFrame, seeds: DataFrame, backward: bool) -> DataFrame:
+def link_members(events: DataFrame) -> DataFrame:
+    """The recorded links as groups like the others: that of an event holds its parents at position 0 and the event
+    at 1. Parents that are not in the session are left out."""
+    links = explicit_edges(events).select(KEY, "src", "dst").distinct()
+    known = links.join(events.select(KEY, F.col("event_id").alias("src")), [KEY, "src"], "left_semi")
+    ends = F.array(
+        F.struct(F.lit(0).cast("long").alias("pos"), F.lit(True).alias("is_src"), F.lit(False).alias("is_dst"), F.col("src").alias("event_id")),
+        F.struct(F.lit(1).cast("long").alias("pos"), F.lit(False).alias("is_src"), F.lit(True).alias("is_dst"), F.col("dst").alias("event_id")),
+    )
+    return known.select(KEY, F.lit("LINK").alias("kind"), F.col("dst").alias("name"), F.inline(ends)).distinct()
+
+
+def _reach(events: DataFrame, seeds: DataFrame, backward: bool, size: int) -> DataFrame:
     """(session, seed_id, event_id) reachable from each seed, the seed excluded.
 
-    Each round extends the frontier by all groups it touches at once: reaching
-    a group at position p reaches every source before p (or every target after
-    p, forward). ``marks`` keeps how far a group is already covered, so a member
-    is visited once. A chain of any length takes one round, so the number of
-    rounds is the number of changes between groups, not the path length.
+    Reaching a group at position p reaches every source before p (or every target after p, forward), so
+    what is reached of a group is one number, its mark. An event reached in one group enters the others it belongs
+    to: that is a hop. Of all hops from a bucket of positions into a group only the farthest moves its mark, so the
+    hops of whole buckets are kept as one row each, and single hops are read only in the buckets where the newly reached
+    span begins and ends. A round reads those rows for the groups whose marks moved and writes the marks that move next;
+    events are listed once, from the final marks. A chain of any length takes one round.
     """
-    events = sliced_semi_join(events, seeds, [KEY], "event_id")
-    group = [KEY, "kind", "name"]
-    members = cut(memberships(events))
+    events = events.join(seeds.select(KEY).distinct(), KEY, "left_semi")
+    members = cut(memberships(events).unionByName(link_members(events)))
     enter, leave = ("is_dst", "is_src") if backward else ("is_src", "is_dst")
-    inlets = members.filter(enter).select(*group, "event_id", "pos")
-    # A busy group is split: what was reached of it is repeated for each slice of its outlets.
-    outlets = members.filter(leave).select(*group, "event_id", "pos", slice_of("event_id").alias("_slice"))
-    near, far = ("dst", "src") if backward else ("src", "dst")
-    nodes = events.select(KEY, "event_id")
-    links = (
-        explicit_edges(events)
-        .select(KEY, F.col(near).alias("event_id"), F.col(far).alias("to_id"))
-        .join(nodes.withColumnRenamed("event_id", "to_id"), [KEY, "to_id"], "left_semi")
+    best = F.max if backward else F.min
+    near, far = [KEY, "kind", "name"], [KEY, "to_kind", "to_name"]
+    inlets = members.filter(enter).select(
+        KEY, "event_id", F.col("kind").alias("to_kind"), F.col("name").alias("to_name"), F.col("pos").alias("to_pos"))
+    hops = cut(
+        members.filter(leave).join(inlets, [KEY, "event_id"])
+        .filter((F.col("kind") != F.col("to_kind")) | (F.col("name") != F.col("to_name")))
+        .select(*near, "pos", bucket_of(F.col("pos"), size).alias("bucket"), *far[1:], "to_pos")
     )
-    links = cut(links.distinct())
-    row = [KEY, "seed_id", "event_id"]
-    visited = frontier = cut(
-        seeds.select(KEY, F.col("event_id").alias("seed_id"), "event_id").distinct()
+    # No span holds the whole of a group's last bucket (first, forward), so most groups have no such rows.
+    edge = hops.groupBy(*near).agg(best("bucket").alias("_edge"))
+    whole = cut(
+        hops.groupBy(*near, "bucket", *far[1:]).agg(best("to_pos").alias("to_pos"))
+        .join(edge, near).filter(F.col("bucket") != F.col("_edge")).drop("_edge")
     )
-    marks = None
-    best = F.max if backward else F.min
+    start = seeds.select(KEY, F.col("event_id").alias("seed_id"), "event_id").distinct()
+    moved = cut(
+        start.join(members.filter(enter), [KEY, "event_id"]).groupBy(*near, "seed_id").agg(best("pos").alias("mark"))
+        .withColumn("old", F.lit(None).cast("long"))
+    )
+    marks = moved.drop("old")
     for turn in count(1):
-        touched = (
-            frontier.join(inlets, [KEY, "event_id"])
-            .groupBy(*group, "seed_id")
-            .agg(best("pos").alias("new"))
-        )
-        if marks is None:
-            advance = touched.withColumn("old", F.lit(None).cast("long"))
-        else:
-            covered = marks.groupBy(*group, "seed_id").agg(best("old").alias("old"))
-            advance = touched.join(covered, [*group, "seed_id"], "left")
-        old, new, pos = F.col("old"), F.col("new"), F.col("pos")
+        mark, old, bucket = F.col("mark"), F.col("old"), F.col("bucket")
+        first, last = bucket_of(mark, size), bucket_of(old, size)
         if backward:
-            moved = old.isNull() | (new > old)
-            span = (pos < new) & (old.isNull() | (pos >= old))
+            span = (F.col("pos") < mark) & (old.isNull() | (F.col("pos") >= old))
+            inner = (bucket < first) & (old.isNull() | (bucket > last))
         else:
-            moved = old.isNull() | (new < old)
-            span = (pos > new) & (old.isNull() | (pos <= old))
-        advance = cut(advance.filter(moved))
-        by_group = advance.withColumn("_slice", every_slice()).join(outlets, [*group, "_slice"]).filter(span).select(*row)
-        by_link = frontier.join(links, [KEY, "event_id"]).select(
-            KEY, "seed_id", F.col("to_id").alias("event_id")
+            span = (F.col("pos") > mark) & (old.isNull() | (F.col("pos") <= old))
+            inner = (bucket > first) & (old.isNull() | (bucket < last))
+        # The buckets at the ends of the span; a bucket that is both is read once.
+        ends = F.array_compact(F.array_distinct(F.array(first, last)))
+        rims = moved.withColumn("bucket", F.explode(ends))
+        by_rim = rims.join(hops, [*near, "bucket"]).filter(span).select("seed_id", *far, "to_pos")
+        by_bucket = moved.join(whole, near).filter(inner).select("seed_id", *far, "to_pos")
+        touched = by_rim.unionByName(by_bucket).groupBy("seed_id", *far).agg(best("to_pos").alias("mark"))
+        touched = touched.withColumnsRenamed({"to_kind": "kind", "to_name": "name"})
+        known = marks.groupBy(*near, "seed_id").agg(best("mark").alias("old"))
+        farther = F.col("mark") > F.col("old") if backward else F.col("mark") < F.col("old")
+        seen = Observation()
+        moved = cut(
+            touched.join(known, [*near, "seed_id"], "left").filter(F.col("old").isNull() | farther)
+            .select(*near, "seed_id", "mark", "old").observe(seen, F.count(F.lit(1)).alias("n"))
         )
-        reached = by_group.unionByName(by_link).distinct().join(visited, row, "left_anti")
-        frontier = cut(reached)
-        if frontier.isEmpty():
+        if not seen.get["n"]:
             break
-        visited = visited.unionByName(frontier)
-        latest = advance.select(*group, "seed_id", new.alias("old"))
-        marks = latest if marks is None else marks.unionByName(latest)
+        marks = marks.unionByName(moved.drop("old"))
         if turn % COMPACT_EVERY == 0:
-            visited, marks = cut(visited), cut(marks)
-    return visited.filter(F.col("seed_id") != F.col("event_id"))
+            marks = cut(marks.groupBy(*near, "seed_id").agg(best("mark").alias("mark")))
+    final = marks.groupBy(*near, "seed_id").agg(best("mark").alias("mark"))
+    within = F.col("pos") < F.col("mark") if backward else F.col("pos") > F.col("mark")
+    found = members.filter(leave).join(final, near).filter(within).select(KEY, "seed_id", "event_id")
+    return found.distinct().filter(F.col("seed_id") != F.col("event_id"))
 
 
-def ancestors(events: DataFrame, seeds: DataFrame) -> DataFrame:
+def ancestors(events: DataFrame, seeds: DataFrame, size: int = HOP_BUCKET) -> DataFrame:
     """Everything that leads to each seed (columns artifact_id, event_id)."""
-    return _reach(events, seeds, backward=True)
+    return _reach(events, seeds, True, size)
 
 
-def descendants(events: DataFrame, seeds: DataFrame) -> DataFrame:
+def descendants(events: DataFrame, seeds: DataFrame, size: int = HOP_BUCKET) -> DataFrame:
     """Everything each seed leads to."""
-    return _reach(events, seeds, backward=False)
+    return _reach(events, seeds, False, size)
 
 
 def causal_neighborhood(events: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

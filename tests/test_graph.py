@@ -101,7 +101,7 @@ def test_traversal_matches_plain_search(spark, make, size, monkeypatch):
                         reached.add(b)
                         todo.append(b)
             walk = graph.ancestors if backward else graph.descendants
-            assert ids(walk(events, seed(spark, start))) == reached
+            assert ids(walk(events, seed(spark, start), size)) == reached
 
 
 def test_adjacent_pairs_over_buckets(make):

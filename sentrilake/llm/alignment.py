@@ -6,8 +6,8 @@ binary search in the last step. Ends that stand in both cut the tokens into grou
 the places of two neighbouring ends is the number of tokens of the longer list that a token of the shorter overlaps.
 
 How often a pair of ids is linked in the whole corpus is not known before all texts are aligned. A task takes texts in
-blocks of bounded bytes and writes the block's distinct pairs once, and for each text the numbers of its pairs
-in that list. Pairs are summed over the blocks, and each block gets the counts of its own pairs back, so what is shuffled is a row
+blocks of bounded bytes and writes the block's distinct pairs once, and for each text the numbers of its links'
+pairs in that list. Pairs are summed over the blocks, and each block gets the counts of its own pairs back, so what is shuffled is a row
 per block and pair, not per text and pair, and a very frequent pair is one row in each block.
 
 Defined results: texts that are null or empty, or whose joined tokens are not a space and the text in either tokenizer,
@@ -17,6 +17,7 @@ doc_ids are aligned each on their own; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -60,14 +61,19 @@ class PieceEncoder:
             bytes([int(name[3:5], 16)]) if self.model.is_byte(i) else name.replace(_SPACE, " ").encode()
             for i, name in enumerate(names)
         ]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x, "<i4").tobytes() for x in self.model.encode(texts, num_threads=1)]
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of texts, or null for one whose joined tokens are not a space and the text."""
+        get = self.bytes.__getitem__
+        return [
+            array("i", ids).tobytes() if b"".join(map(get, ids)) == b" " + text.encode() else None
+            for text, ids in zip(texts, self.model.encode(texts, num_threads=1))
+        ]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text, before which the model puts a space."""
+    def __call__(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of every text, before which the model puts a space, or null as above."""
         if len(self.known) > _CACHED_PIECES:
             self.known, self.older = {}, self.known
         split = [x.split(" ") for x in texts]
@@ -80,7 +86,11 @@ class PieceEncoder:
         out = []
         for text, words in zip(texts, split):
             # Several spaces in a row are merged with one another, so such a text is encoded whole.
-            out.append(b"".join(map(known.__getitem__, words)) if all(words) else self._encode([text])[0])
+            if all(words):
+                found = list(map(known.__getitem__, words))
+                out.append(None if None in found else b"".join(found))
+            else:
+                out.append(self._encode([text])[0] if text else None)
         for x in rest:
             if len(x) > _LONGEST_PIECE:
                 del known[x]
@@ -97,25 +107,39 @@ class Tokenizers:
         self.units, self.pieces = tokens.encoder(path), PieceEncoder(pieces or default_pieces())
         alphabet = byte_alphabet()
         vocab = self.units.tokenizer.get_vocab(with_added_tokens=False)
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        self.a_size = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
-            self.a_bytes[i] = bytes(alphabet[c] for c in token)
-        self.a_size = np.array([len(x) for x in self.a_bytes])
+            self.a_size[i] = sum(c in alphabet for c in token)  # a character of a token stands for a byte
         self.b_size = np.array([len(x) for x in self.pieces.bytes])
-        self.a_names, self.b_names = (list(map(str, range(len(x)))) for x in (self.a_size, self.b_size))
+        #: Each id with what follows it inside a group and at the end of its half, A before B.
+        self.names = [f"{i}{x}" for n, marks in ((len(self.a_size), ",|"), (len(self.b_size), ",;")) for i in range(n) for x in marks]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of every text in both, none where the text has no tokens by definition."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids of every text and the ends of their tokens in A and in B, empty where the text has no tokens by
+        definition. Byte-level tokens always join to the text; the pieces have been compared with it."""
         none = np.zeros(0, np.int64)
-        a_all = self.units([f" {x}" for x in texts])
-        for text, a, b in zip(texts, a_all, self.pieces(texts)):
+        for a, b in zip(self.units([f" {x}" for x in texts]), self.pieces(texts)):
+            if b is None:
+                yield none, none, none, none
+                continue
             a, b = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<i4").astype(np.int64)
-            whole = f" {text}".encode()
-            same = text and all(
-                b"".join(map(names.__getitem__, ids.tolist())) == whole
-                for names, ids in ((self.a_bytes, a), (self.pieces.bytes, b))
-            )
-            yield (a, b) if same else (none, none)
+            a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+            if a_ends[-1] != b_ends[-1]:
+                raise AssertionError("byte-level tokens do not join to their text")
+            yield a, b, a_ends, b_ends
+
+    def group_text(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> str:
+        """Groups of ids, ``a1,a2|b1;a3|b2,b3``, given the places of the groups' last tokens."""
+        codes = np.empty(len(a) + len(b), np.int64)
+        # Behind a token stand the tokens of its own half and, of the other, those of the groups before (and its own).
+        a_group, b_group = (np.repeat(np.arange(len(x)), np.diff(x, prepend=-1)) for x in (a_last, b_last))
+        a_place = np.arange(len(a)) + np.concatenate([[0], b_last[:-1] + 1])[a_group]
+        b_place = np.arange(len(b)) + (a_last + 1)[b_group]
+        codes[a_place] = 2 * a
+        codes[b_place] = 2 * (len(self.a_size) + b)
+        codes[a_place[a_last]] += 1
+        codes[b_place[b_last]] += 1
+        return "".join(map(self.names.__getitem__, codes.tolist()))[:-1]
 
 
 _TOKENIZERS: dict[tuple, Tokenizers] = {}
@@ -128,16 +152,19 @@ def tokenizers(units: str | None = None, pieces: str | None = None) -> Tokenizer
 
 
 def gallop(shorter: list[int], longer: list[int]) -> list[int]:
-    """For every end of ``shorter`` the place of the first end of ``longer`` that is not smaller."""
+    """For every end of ``shorter`` the place of the first end of ``longer`` that is not smaller. The last end of
+    ``longer`` is not smaller than any."""
     out, at, n = [], 0, len(longer)
     for end in shorter:
-        step, high = 1, at
-        while high < n and longer[high] < end:
-            at = high + 1
-            high += step
-            step += step
-        if high != at:
-            at = bisect_left(longer, end, at, min(high, n))
+        if longer[at] < end:
+            at += 1
+            if longer[at] < end:
+                step, high = 1, at + 1
+                while high < n and longer[high] < end:
+                    at = high
+                    step += step
+                    high += step
+                at = bisect_left(longer, end, at + 1, min(high, n))
         out.append(at)
     return out
 
@@ -163,43 +190,27 @@ def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (long, short, ends[1], ends[0]) if swap else (short, long, *ends)
 
 
-def group_text(a: list[str], b: list[str], a_last: list[int], b_last: list[int]) -> str:
-    """Groups of ids: ``a1,a2|b1;a3|b2,b3``."""
-    out, i, j = [], 0, 0
-    for k, m in zip(a_last, b_last):
-        if k == i and m == j:
-            out.append(f"{a[i]}|{b[j]}")
-        else:
-            out.append(f"{','.join(a[i : k + 1])}|{','.join(b[j : m + 1])}")
-        i, j = k + 1, m + 1
-    return ";".join(out)
-
-
 _ROW = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
 _LINKED = _ROW + "numbers binary, pairs binary"
 _TYPES = [pa.int64()] * 6 + [pa.string(), pa.binary(), pa.binary()]
 
 
 def _align_block(both: Tokenizers, texts: list[str], digest) -> tuple[list[tuple], bytes]:
-    """The figures of each text with its pairs as (number in the block's list, times), and that list: pairs, times."""
-    figures, keys, owners = [], [], []
-    for i, (a, b) in enumerate(both.encode(texts)):
+    """The figures of each text with the numbers of its links' pairs in the block's list, and that list: pairs, times."""
+    figures, keys, ends = [], [], [0]
+    for a, b, a_ends, b_ends in both.encode(texts):
         if not len(a):
             figures.append((0, 0, 0, 0, ""))
-            continue
-        at_a, at_b, a_last, b_last = align(np.cumsum(both.a_size[a]), np.cumsum(both.b_size[b]))
-        keys.append(a[at_a] << 32 | b[at_b])
-        owners.append(np.full(len(at_a), i))
-        names = [list(map(known.__getitem__, x.tolist())) for known, x in ((both.a_names, a), (both.b_names, b))]
-        text = group_text(*names, a_last.tolist(), b_last.tolist())
-        figures.append((len(a), len(b), len(a_last), len(at_a), digest(text)))
+        else:
+            at_a, at_b, a_last, b_last = align(a_ends, b_ends)
+            keys.append(a[at_a] << 32 | b[at_b])
+            figures.append((len(a), len(b), len(a_last), len(at_a), digest(both.group_text(a, b, a_last, b_last))))
+        ends.append(ends[-1] + 4 * figures[-1][3])
     if not keys:
         return [(*x, b"") for x in figures], b""
     pairs, number, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    own, n = np.unique(np.concatenate(owners) << 32 | number, return_counts=True)
-    entries = np.stack([own & 0xFFFFFFFF, n], axis=1).astype("<u4")
-    ends = np.searchsorted(own, np.arange(len(texts) + 1) << 32).tolist()
-    rows = [(*x, entries[i:j].tobytes()) for x, i, j in zip(figures, ends, ends[1:])]
+    numbers = number.astype("<u4").tobytes()
+    rows = [(*x, numbers[i:j]) for x, i, j in zip(figures, ends, ends[1:])]
     return rows, np.stack([pairs, times]).astype("<i8").tobytes()
 
 
@@ -267,8 +278,8 @@ def _summed(linked: DataFrame, counts: DataFrame) -> DataFrame:
                     continue
                 sums = []
                 for data in part["numbers"].to_pylist():
-                    number, n = np.frombuffer(data, "<u4").reshape(-1, 2).T.astype(np.int64)
-                    sums.append((int(n[best[number]].sum()), int((n * links[number]).sum())))
+                    number = np.frombuffer(data, "<u4")
+                    sums.append((int(best[number].sum()), int(links[number].sum())))
                 n_best, total = zip(*sums)
                 yield pa.RecordBatch.from_arrays(
                     [part[x] for x in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
@@ -296,8 +307,5 @@ def align_documents(docs: DataFrame, units: str | None = None, pieces: str | Non
 def text_groups(text: str, units: str | None = None, pieces: str | None = None) -> str:
     """The groups of one text as ids."""
     both = tokenizers(units, pieces)
-    a, b = next(both.encode([text]))
-    if not len(a):
-        return ""
-    _, _, a_last, b_last = align(np.cumsum(both.a_size[a]), np.cumsum(both.b_size[b]))
-    return group_text([str(x) for x in a], [str(x) for x in b], a_last.tolist(), b_last.tolist())
+    a, b, a_ends, b_ends = next(both.encode([text]))
+    return both.group_text(a, b, *align(a_ends, b_ends)[2:]) if len(a) else ""

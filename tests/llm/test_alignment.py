@@ -17,7 +17,7 @@ COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
 def test_gallop():
     rng = random.Random(1)
     for _ in range(300):
-        longer = sorted(rng.sample(range(1, 400), rng.randrange(1, 120)))
+        longer = sorted(rng.sample(range(1, 400), rng.randrange(1, 120)))  # its last end is the largest of both
         shorter = sorted(rng.sample(range(1, longer[-1] + 1), rng.randrange(1, min(40, longer[-1] + 1))))
         assert alignment.gallop(shorter, longer) == [sum(x < end for x in longer) for end in shorter]
     assert alignment.gallop([], [3]) == []
@@ -41,6 +41,7 @@ def test_pieces_are_the_library(text):
     both = alignment.tokenizers()
     for _ in range(2):
         assert np.frombuffer(both.pieces([text])[0], "<i4").tolist() == brute.pieces().encode(text)
+    assert alignment.text_groups(text).count(";") + 1 == brute.alignments([(1, text)])[0][3]
 
 
 def test_rows(spark):

@@ -15,8 +15,8 @@ PROCESS_LINEAGE      child process id            0 for spawn, 1 for start
 ===================  ==========================  =========================
 
 Counts and traversals work on the group memberships, whose size is linear in the
-events; DNS and lineage edges, which pair up a whole group, are only listed by
-:func:`build_edges`.
+events. DNS and lineage edges, which pair up a whole group, are kept as spans by
+:func:`edge_spans`; :func:`edges_into` lists those of given events, and only :func:`build_edges` all.
 
 Input events need a unique ``event_id`` per session (see
 ``streaming.feed.drop_duplicate_events``) and ``ord``, the dense place in time
@@ -158,6 +158,47 @@ def build_edges(events: DataFrame, strict_lineage: bool = False) -> DataFrame:
     )
 
 
+def edge_spans(events: DataFrame, size: int = BUCKET) -> DataFrame:
+    """DNS and lineage edges as spans: (session, kind, name, dst, sources).
+
+    The sources of a group are numbered in the order of their positions, and an event's edges come from a first part of
+    them, so one row with their number stands for all its edges in the group. The numbers are prefix sums over buckets
+    of positions; the rows are linear in the events however many pairs a group has.
+    """
+    members = memberships(events).filter(F.col("kind").isin("DNS", "LINEAGE") & F.col("name").isNotNull())
+    members = members.withColumn("_b", bucket_of(F.col("pos"), size))
+    group = [KEY, "kind", "name"]
+    is_src = F.col("is_src").cast("long")
+    totals = members.groupBy(*group, "_b").agg(F.sum(is_src).alias("_n"))
+    earlier = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    # All starts of a process id share a position, and so do all spawns: one row of counts each, not a window over them.
+    inner = W.partitionBy(*group, "_b").orderBy("pos").rangeBetween(W.unboundedPreceding, -1)
+    places = members.groupBy(*group, "_b", "pos").agg(F.sum(is_src).alias("_n"))
+    places = places.withColumn("_inside", F.coalesce(F.sum("_n").over(inner), F.lit(0))).drop("_n")
+    counted = places.join(before, [*group, "_b"]).select(*group, "pos", (F.col("_before") + F.col("_inside")).alias("sources"))
+    targets = members.filter("is_dst").select(*group, "pos", F.col("event_id").alias("dst"))
+    return targets.join(counted.filter("sources > 0"), [*group, "pos"]).select(*group, "dst", "sources")
+
+
+def edges_into(events: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The edges that lead to the ``wanted`` events (artifact_id, event_id), without listing any other pairs.
+
+    Chains are linear in the events and are filtered; of pairing groups only the wanted events meet their sources, so the
+    output is linear in the spans of the wanted events.
+    """
+    wanted = wanted.select(KEY, F.col("event_id").alias("dst")).distinct()
+    single = explicit_edges(events).unionByName(temporal_edges(events)).unionByName(resource_edges(events))
+    members = memberships(events).filter(F.col("kind").isin("DNS", "LINEAGE"))
+    group = [KEY, "kind", "name"]
+    into = members.filter("is_dst").withColumnRenamed("event_id", "dst").join(wanted, [KEY, "dst"]).select(
+        *group, "dst", F.col("pos").alias("at"))
+    from_ = members.filter("is_src").select(*group, F.col("event_id").alias("src"), "pos")
+    pairs = into.join(from_, group).filter(F.col("pos") < F.col("at")).select(
+        KEY, "src", "dst", F.when(F.col("kind") == "DNS", "CAUSAL").otherwise("PROCESS_LINEAGE").alias("kind"))
+    return single.join(wanted, [KEY, "dst"], "left_semi").select(*_EDGE).unionByName(pairs).withColumn("weight", F.lit(1))
+
+
 def add_edge(edges: DataFrame, extra: DataFrame, events: DataFrame) -> DataFrame:
     """Add hand-made edges whose two ends exist."""
     nodes = events.select(KEY, F.col("event_id").alias("_id"))

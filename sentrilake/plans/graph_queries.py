@@ -97,6 +97,11 @@ reach AS (
 )
 
 
+def _edges_into(spark: SparkSession, d: str) -> DataFrame:
+    events = ordered_events(spark, d)
+    return graph.edges_into(events, _seeds(events, last=True))
+
+
 def _added(spark: SparkSession, d: str) -> DataFrame:
     """Hand-made edges from the first to the last event, and from a missing one."""
     events = ordered_events(spark, d)
@@ -295,6 +300,26 @@ LEFT JOIN (SELECT artifact_id, count(*) AS n FROM edges GROUP BY 1) USING (artif
         ),
     ),
     "graph_hash": Query(lambda s, d: graph.graph_hash(ordered_events(s, d)), _GRAPH_HASH_SQL),
+    "edge_spans": Query(
+        lambda s, d: graph.edge_spans(ordered_events(s, d)),
+        with_events(
+            """SELECT artifact_id, 'DNS' AS kind, remote_address AS name, dst, count(*) AS sources
+FROM dns_e JOIN (SELECT artifact_id, event_id AS dst, remote_address FROM ev WHERE event_type = 'NetworkConnect')
+  USING (artifact_id, dst) GROUP BY ALL
+UNION ALL SELECT artifact_id, 'LINEAGE', CAST(pid AS VARCHAR), dst, count(*)
+FROM lineage_e JOIN (SELECT artifact_id, event_id AS dst, pid FROM ev WHERE event_type = 'ProcessStart')
+  USING (artifact_id, dst) GROUP BY ALL""",
+            more=f"{_DNS}, {_LINEAGE}",
+        ),
+    ),
+    "edges_into": Query(
+        _edges_into,
+        with_events(
+            "SELECT e.artifact_id, src, dst, kind, 1 AS weight FROM edges e SEMI JOIN seeds s "
+            "ON s.artifact_id = e.artifact_id AND s.event_id = e.dst",
+            more=f"{_ALL}, {_SEED_SQL[True]}",
+        ),
+    ),
     "ancestors": Query(_ancestors, _reach_sql("dst", "src", True)),
     "descendants": Query(_descendants, _reach_sql("src", "dst", False)),
     "causal_neighborhood": Query(_neighborhood, _NEIGHBOR_SQL),

@@ -104,6 +104,21 @@ def test_traversal_matches_plain_search(spark, make, size, monkeypatch):
             assert ids(walk(events, seed(spark, start), size)) == reached
 
 
+@pytest.mark.parametrize("size", [4, 10_000])
+def test_spans_and_edges_of_given_events(spark, make, size):
+    events = random_events(make)
+    listed = [tuple(r)[:4] for r in graph.build_edges(events).collect()]
+    spans = graph.edge_spans(events, size)
+    assert sum(r.sources for r in spans.collect()) == (
+        graph.dns_edges(events).count() + graph.lineage_edges(events).count())
+    assert spans.count() <= graph.memberships(events).count()
+    for wanted in (["e0007", "e0110", "none"], [f"e{i:04d}" for i in range(120)]):
+        rows = spark.createDataFrame([("s1", x) for x in wanted], "artifact_id string, event_id string")
+        got = sorted(tuple(r)[:4] for r in graph.edges_into(events, rows).collect())
+        assert got == sorted(e for e in listed if e[2] in wanted)
+    assert graph.edge_spans(events.where("false")).count() == 0
+
+
 def test_adjacent_pairs_over_buckets(make):
     events = random_events(make, 50)
     rows = events.select("artifact_id", F.col("process_identity.pid").alias("pid"), "event_id", "ord")

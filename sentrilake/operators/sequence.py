@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -27,23 +29,32 @@ def match_sequence(
     without case. Fewer than two labels match nothing. ``position`` names a
     column that already numbers the rows of a key densely.
 
-    The key is cut into buckets. Rows near a border are repeated in the
-    neighbour bucket, so each row sees its full surroundings there.
+    Only the place of a row and the number of its label are ordered and shuffled; the rows themselves are joined to
+    the hits. The key is cut into buckets, and rows near a border are repeated in the neighbour bucket. A
+    row ends a run if the labels behind it are the wanted ones, and is a step of the runs that end up to k - 1 rows later, so
+    two passes of k offsets over one window give all hits.
     """
     k = len(wanted)
-    if position is None:
-        position = "_pos"
-        rows = dense_position(rows, keys, order, position) if k >= 2 else rows.withColumn(
-            position, F.lit(0).cast("long")
-        )
     if k < 2:
         empty = rows.filter(F.lit(False))
-        return empty.withColumn("hit", F.col(position)).withColumn("step", F.lit(0)).drop("_pos")
+        place = F.lit(0).cast("long") if position is None else F.col(position)
+        return empty.withColumn("hit", place).withColumn("step", F.lit(0))
     if size < k:
         raise ValueError("size must hold a whole run")
+    numbers = {name.lower(): i for i, name in enumerate(dict.fromkeys(x.lower() for x in wanted))}
+    kind = F.lower(F.col(label))
+    number = F.lit(-1)
+    for name, i in numbers.items():
+        number = F.when(kind == name, F.lit(i)).otherwise(number)
+    if position is None:
+        place = list(order)
+        narrow = dense_position(rows.select(*keys, *order, number.alias("_label")), keys, order, "_pos")
+    else:
+        place = [position]
+        narrow = rows.select(*keys, position, number.alias("_label")).withColumn("_pos", F.col(position))
 
-    home = bucket_of(F.col(position), size)
-    offset = F.col(position) - home * size
+    home = bucket_of(F.col("_pos"), size)
+    offset = F.col("_pos") - home * size
     targets = F.array_compact(
         F.array(
             home,
@@ -51,26 +62,23 @@ def match_sequence(
             F.when(offset >= size - (k - 1), home + 1),
         )
     )
-    spread = rows.withColumn("_home", home).withColumn("_b", F.explode(targets))
-    around = W.partitionBy(*keys, "_b").orderBy(position)
-    kind = F.lower(F.col(label))
-
-    def at(shift: int, name: str):
-        other = kind if shift == 0 else F.lead(kind, shift).over(around)
-        if shift < 0:
-            other = F.lag(kind, -shift).over(around)
-        return F.coalesce(other == name.lower(), F.lit(False))
-
-    steps = []
-    for step in range(k):
-        hit = at(-step, wanted[0])
-        for i in range(1, k):
-            hit = hit & at(i - step, wanted[i])
-        steps.append(F.when(hit, F.lit(step)))
-    marked = spread.withColumn("_steps", F.array_compact(F.array(*steps)))
-    return (
-        marked.filter(F.col("_b") == F.col("_home"))
-        .withColumn("step", F.explode("_steps"))
-        .withColumn("hit", F.col(position) - F.col("step"))
-        .drop("_steps", "_home", "_b", "_pos")
+    spread = narrow.withColumn("_home", home).withColumn("_b", F.explode(targets))
+    around = W.partitionBy(*keys, "_b").orderBy("_pos")
+    ends = F.lit(True)
+    for back, name in enumerate(reversed(wanted)):
+        there = F.lag("_label", back).over(around) if back else F.col("_label")
+        ends = ends & F.coalesce(there == numbers[name.lower()], F.lit(False))
+    ended = spread.withColumn("_ends", ends)
+    steps = [
+        F.when(F.col("_ends") if step == k - 1 else F.lead("_ends", k - 1 - step).over(around), F.lit(step)) for step in range(k)
+    ]
+    hits = (
+        ended.withColumn("_steps", F.array_compact(F.array(*steps)))
+        .filter((F.col("_b") == F.col("_home")) & (F.size("_steps") > 0))
+        .select(*keys, *place, "_pos", F.explode("_steps").alias("step"))
+        .select(*keys, *place, (F.col("_pos") - F.col("step")).alias("hit"), "step")
     )
+    # A null is a key value like any other.
+    found = hits.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*keys, *place])], F.col("hit").alias("_hit"), F.col("step").alias("_step"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate([*keys, *place])])
+    return rows.join(found, same).select(*rows.columns, F.col("_hit").alias("hit"), F.col("_step").alias("step"))

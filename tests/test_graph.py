@@ -180,6 +180,13 @@ def test_sequence_buckets(spark, make):
         assert sorted((r.hit, r.step) for r in got.collect()) == want
 
 
+def test_sequence_of_a_null_key(spark):
+    rows = spark.createDataFrame([(None, i, x) for i, x in enumerate("abab")], "artifact_id string, seq long, event_type string")
+    got = sequence.match_sequence(rows, ["a", "B"])
+    assert got.columns == ["artifact_id", "seq", "event_type", "hit", "step"]
+    assert sorted((r.seq, r.hit, r.step) for r in got.collect()) == [(0, 0, 0), (1, 0, 1), (2, 2, 0), (3, 2, 1)]
+
+
 def test_dense_position(spark):
     rows = spark.createDataFrame([("hot" if i % 3 else "cold", 997 * i % 1000) for i in range(1000)], "k string, v int")
     out = ordering.dense_position(rows.repartition(7), ["k"], ["v"]).orderBy("k", "v").collect()

@@ -8,10 +8,12 @@ shuffle: only counts, headers and findings do.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -404,6 +406,54 @@ def indicator_strings(
     return rows.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("indicator"))
 
 
+#: Bytes of the listed strings in one automaton, which every Python worker builds; longer lists take several passes.
+INDICATOR_BYTES = 16 << 20
+
+
+def indicator_matches(rows: DataFrame, indicators: DataFrame, content: str = "content", limit: int = INDICATOR_BYTES) -> DataFrame:
+    """``rows`` without ``content``, and ``indicator``: each string of ``indicators`` (one column) that occurs in the text
+    or bytes of ``content``, found for all strings in one reading by an Aho-Corasick automaton.
+
+    The strings are broadcast in parts of at most ``limit`` bytes, so any number of them is exact; one part holds
+    some hundred thousand. Empty and null strings are left out, strings that repeat are one, and a null content has
+    no hits. Nothing is shuffled.
+    """
+    spark = rows.sparkSession
+    name = indicators.columns[0]
+    listed = indicators.select(F.col(name).cast("string").alias("indicator")).where(F.length("indicator") > 0).distinct()
+    total = listed.agg(F.sum(F.octet_length("indicator"))).first()[0] or 0
+    parts = -(-total // limit) or 1
+    dealt = listed.withColumn("_part", F.pmod(F.xxhash64("indicator"), F.lit(parts)))
+    others = [c for c in rows.columns if c != content]
+    body = rows.select(*others, F.col(content).cast("binary").alias("_content")).where("_content IS NOT NULL")
+    schema = T.StructType([*rows.select(*others).schema.fields, T.StructField("indicator", T.StringType())])
+    passes = []
+    for part in range(parts):
+        known = spark.sparkContext.broadcast([r[0] for r in dealt.where(F.col("_part") == part).select("indicator").collect()])
+
+        def find(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            # A character for each byte, in the strings as in the content.
+            for text in known.value:
+                automaton.add_word(text.encode().decode("latin-1"), text)
+            automaton.make_automaton()
+            for batch in batches:
+                place, found = [], []
+                for i in range(batch.num_rows if known.value else 0):
+                    data = batch["_content"][i].as_py().decode("latin-1")
+                    hits = {text for _, text in automaton.iter(data)}
+                    place += [i] * len(hits)
+                    found += hits
+                if found:
+                    kept = batch.select(others).take(pa.array(place))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.string())], [*others, "indicator"])
+
+        passes.append(body.mapInArrow(find, schema))
+    return reduce(DataFrame.unionByName, passes)
+
+
 def _matches(files: DataFrame, pattern: str, group: int = 0) -> DataFrame:
     """(path, offset, match, part) of all matches, left to right.
 

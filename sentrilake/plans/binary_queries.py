@@ -213,6 +213,13 @@ FROM files JOIN entropy USING (path)"""
 _WORDS = ["License", "http", "@", "the ", "LdrLoadDll"]
 
 
+def _listed_words(spark: SparkSession, d: str) -> DataFrame:
+    """Long words of the benchmark table, looked for inside the words of the documents too."""
+    words = load(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("word"))
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    return triage.indicator_matches(docs, words.where(F.length("word") >= 7), "text")
+
+
 def _indicators(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents")
     return triage.indicator_strings(docs, _WORDS, ["doc_id"], F.col("text"))
@@ -272,6 +279,12 @@ SELECT 'doc-' || doc_id, 'TLS_TABLE', 16384, 40 FROM documents WHERE doc_id % 12
         "sha256(unhex('52696368' || repeat('00', 12))) END AS rich_header_hash "
         "FROM documents WHERE doc_id % 4 = 0",
     ),
+    "indicator_matches": Query(
+        _listed_words,
+        """SELECT doc_id, indicator FROM documents, (
+  SELECT DISTINCT unnest(string_split(text, ' ')) AS indicator FROM benchmark)
+WHERE length(indicator) >= 7 AND contains(text, indicator)""",
+    ),
     "indicator_strings": Query(
         _indicators,
         "SELECT doc_id, indicator FROM documents, (SELECT unnest("

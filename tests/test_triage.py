@@ -248,3 +248,20 @@ def test_contents_are_counted_once_and_not_shuffled(spark):
     for df in (triage.syscall_stubs(files), triage.stack_strings(files)):
         below = _plan(df).split("Window", 1)[1].splitlines()[1]
         assert ".gap" in below and "_text" not in below
+
+
+def test_ten_thousand_indicators(spark):
+    """The same hits as a plain search, in one part or in many; one string inside another, and over non-ASCII text."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcd\u00e9", k=rnd.randrange(2, 9))) for _ in range(10_000)]
+    texts = ["".join(rnd.choices("abcd\u00e9 ", k=300)) for _ in range(12)] + ["", None]
+    rows = spark.createDataFrame([(f"f{i}", 7, x) for i, x in enumerate(texts)], "path string, indicator_count int, body string")
+    listed = spark.createDataFrame([(w,) for w in [*words, words[0], "", None]], "w string")
+    want = sorted((f"f{i}", 7, w) for i, x in enumerate(texts) for w in set(words) if x and w in x)
+    for limit in (triage.INDICATOR_BYTES, 20_000):
+        found = triage.indicator_matches(rows, listed, "body", limit)
+        assert found.columns == ["path", "indicator_count", "indicator"]
+        assert sorted(map(tuple, found.collect())) == want and want
+    binary = files(spark, b"\0\xffMZ\xc3\xa9x", b"none")
+    assert [tuple(r) for r in triage.indicator_matches(binary, spark.createDataFrame([("\u00e9x",), ("q",)], "w string")).collect()] == [("f0", "\u00e9x")]
+    assert triage.indicator_matches(rows, listed.where("false"), "body").count() == 0

@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 
 from sentrilake.functions.fields import event_hash, payload, pid
 from sentrilake.operators.ordering import BUCKET, adjacent_pairs, bucket_of
-from sentrilake.operators.skew import every_slice, slice_of, sliced_semi_join
 from sentrilake.session import cut
 
 KEY = "artifact_id"
@@ -431,7 +430,7 @@ def causal_neighborhood(events: DataFrame, seeds: DataFrame, depth: int) -> Data
 
     Links through missing events count; the missing events are not returned.
     """
-    events = sliced_semi_join(events, seeds, [KEY], "event_id")
+    events = events.join(seeds.select(KEY).distinct(), KEY, "left_semi")
     dns = cut(memberships(events).filter(F.col("kind") == "DNS"))
     group = [KEY, "name"]
     links = explicit_edges(events).select(KEY, "src", "dst")
@@ -461,11 +460,11 @@ def causal_neighborhood(events: DataFrame, seeds: DataFrame, depth: int) -> Data
         step = (F.col("is_src") & (F.col("pos") < F.col("last_connect"))) | (
             F.col("is_dst") & (F.col("pos") > F.col("first_answer"))
         )
-        members = dns.withColumn("_slice", slice_of("event_id"))
-        by_group = inside.withColumn("_slice", every_slice()).join(members, [*group, "_slice"]).filter(step).select(*row)
+        by_group = inside.join(dns, group).filter(step).select(*row)
         reached = by_link.unionByName(by_group).distinct().join(visited, row, "left_anti")
-        frontier = cut(reached)
-        if frontier.isEmpty():
+        seen = Observation()
+        frontier = cut(reached.observe(seen, F.count(F.lit(1)).alias("n")))
+        if not seen.get["n"]:
             break
         visited = visited.unionByName(frontier)
     return visited.filter(F.col("seed_id") != F.col("event_id")).join(

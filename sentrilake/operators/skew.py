@@ -8,24 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 500_000
-#: Parts of a key where one side is a short list of keys.
-SLICES = 16
 
 
-def slice_of(row_id: str, slices: Column | int = SLICES) -> Column:
-    """The slice of a row of the long side."""
-    return F.pmod(F.xxhash64(row_id), slices if isinstance(slices, Column) else F.lit(slices)).cast("int")
+def slice_of(row_id: str, slices: Column) -> Column:
+    """The slice of a row of the side that is cut."""
+    return F.pmod(F.xxhash64(row_id), slices).cast("int")
 
 
-def every_slice(slices: Column | int = SLICES) -> Column:
-    """Repeats a row of the short side for each slice."""
-    return F.explode(F.sequence(F.lit(0), (slices if isinstance(slices, Column) else F.lit(slices)) - 1))
-
-
-def sliced_semi_join(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
-    """The rows whose ``keys`` stand in ``wanted``, a short list: every key meets in ``SLICES`` tasks."""
-    spread = wanted.select(*keys).distinct().withColumn("_slice", every_slice())
-    return rows.withColumn("_slice", slice_of(row_id)).join(spread, [*keys, "_slice"], "left_semi").drop("_slice")
+def every_slice(slices: Column) -> Column:
+    """Repeats a row of the other side for each slice."""
+    return F.explode(F.sequence(F.lit(0), slices - 1))
 
 
 def salted_join(

@@ -8,8 +8,10 @@ shuffle: only counts, headers and findings do.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,7 @@ from pyspark.sql.functions import pandas_udf
 PACKED_ENTROPY = 7.20
 # Bytes counted by one call; keeps an Arrow batch of full chunks small.
 CHUNK = 32 * 1024
+_MATCHES_AT_ONCE = 10_000
 
 # API names that hint at injection or evasion.
 SUSPICIOUS_APIS = [
@@ -455,33 +458,27 @@ def indicator_matches(rows: DataFrame, indicators: DataFrame, content: str = "co
 
 
 def _matches(files: DataFrame, pattern: str, group: int = 0) -> DataFrame:
-    """(path, offset, match, part) of all matches, left to right.
+    """(path, offset, match, part) of all matches, left to right, from one reading of every file.
 
-    The lengths of the texts between the matches give the offsets. One file is one row
-    of the input, so its matches are no larger than that row.
+    Bytes are given as ISO-8859-1 text. A task yields the matches of a file in slices; nothing is shuffled.
     """
-    text = F.col("_text")
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap))
-    rows = (
-        files.select("path", _latin().alias("_text"))
-        .filter(F.regexp_like(text, F.lit(pattern)))
-        .select(
-            "path",
-            F.posexplode(
-                F.arrays_zip(gaps.alias("gap"), found.alias("match"), part.alias("part"))
-            ).alias("_i", "_m"),
-        )
-        .select("path", "_i", "_m.*")
-    )
-    before = W.partitionBy("path").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
-    step = F.col("gap") + F.coalesce(F.length("match"), F.lit(0))
-    return (
-        rows.withColumn("offset", F.coalesce(F.sum(step).over(before), F.lit(0)) + F.col("gap"))
-        .filter(F.col("match").isNotNull())
-        .select("path", "offset", "match", "part")
-    )
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = re.compile(pattern.encode("latin-1"))
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                found = wanted.finditer(content.as_py())
+                while part := list(islice(found, _MATCHES_AT_ONCE)):
+                    columns = [
+                        pa.array([path.as_py()] * len(part), pa.string()),
+                        pa.array([m.start() for m in part], pa.int64()),
+                        pa.array([m[0].decode("latin-1") for m in part], pa.string()),
+                        pa.array([(m[group] or b"").decode("latin-1") for m in part], pa.string()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["path", "offset", "match", "part"])
+
+    rows = files.select("path", F.col("content").cast("binary").alias("content")).where("content IS NOT NULL")
+    return rows.mapInArrow(scan, "path string, offset long, match string, part string")
 
 
 def syscall_stubs(files: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def _fleet(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     status = feed.fleet_heartbeat(spark.readStream.schema(schema).parquet(path))
     out = shared_path(spark, "fleet")
-    feed.updates_to_table(status, out, shared_path(spark, "progress"), once=True).awaitTermination()
+    feed.updates_to_table(status, out, "node_id", shared_path(spark, "progress"), once=True).awaitTermination()
     return fleet_columns(feed.latest_rows(spark, out, "node_id"))
 
 

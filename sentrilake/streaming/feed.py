@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from sentrilake.functions.fields import result_row
 from sentrilake.operators.detect import count_criteria, fired_rules, risk_columns
 from sentrilake.operators.stats import fleet_status
+from sentrilake.session import remove_path
 from sentrilake.sources.events import CORRUPT
 from sentrilake.sources.rules import Rule
 
@@ -128,27 +130,60 @@ def append_to_table(
 
 
 def updates_to_table(
-    stream: DataFrame, path: str, checkpoint: str, once: bool = False
+    stream: DataFrame, path: str, key: str, checkpoint: str, once: bool = False, compact_every: int = 16
 ) -> StreamingQuery:
-    """Write the changed rows of each batch below ``path``.
+    """Keep the current row of each key below ``path``, as a base and the changes since.
 
-    A repeated batch replaces its own folder, so a restart leaves no duplicates.
+    ``delta/batch=k`` holds the rows that batch k changed. After every ``compact_every`` batches the newest base and the
+    deltas behind it become ``base/batch=k``. A base counts once it is complete, so a reader sees the old or the new
+    one, and what it replaces is removed one compaction later, when no reader of the older base is left. A repeated
+    batch replaces its own folders, so a restart leaves no duplicates.
     """
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def save(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/delta/batch={number}")
+        if (number + 1) % compact_every == 0:
+            bases = [n for n in _complete(spark, f"{path}/base") if n < number]
+            current = _newest(spark, path, key, max(bases, default=None), number, batch.schema)
+            current.write.mode("overwrite").parquet(f"{path}/base/batch={number}")
+            for old in sorted(bases)[:-1]:
+                remove_path(spark, f"{path}/base/batch={old}")
+            for old in _complete(spark, f"{path}/delta"):
+                if old <= max(bases, default=-1):
+                    remove_path(spark, f"{path}/delta/batch={old}")
 
     writer = stream.writeStream.outputMode("update").foreachBatch(save)
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _complete(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches whose folders below ``path`` are complete."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [status.getPath() for status in files.listStatus(folder)]
+    done = [p for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("batch=")) for p in done)
+
+
+def _newest(
+    spark: SparkSession, path: str, key: str, base: int | None, upto: int | None, schema: StructType | None
+) -> DataFrame:
+    """Current row of each key from one base and the complete deltas behind it."""
+    numbers = [n for n in _complete(spark, f"{path}/delta") if (base is None or n > base) and (upto is None or n <= upto)]
+    parts = [(-1, f"{path}/base/batch={base}")] if base is not None else []
+    parts += [(n, f"{path}/delta/batch={n}") for n in numbers]
+    schema = schema or spark.read.parquet(parts[0][1]).schema
+    tables = [spark.read.schema(schema).parquet(p).withColumn("_batch", F.lit(n)) for n, p in parts]
+    rows = reduce(DataFrame.unionByName, tables)
+    newest = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*schema.fieldNames()), "_batch").alias("_row"))
+    return newest.select("_row.*")
+
+
 def latest_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Current row of each key from a table of updates."""
-    newest = W.partitionBy(key).orderBy(F.desc("batch"))
-    updates = spark.read.parquet(path)
-    return (
-        updates.withColumn("_rank", F.row_number().over(newest))
-        .filter(F.col("_rank") == 1)
-        .drop("_rank", "batch")
-    )
+    """Current row of each key of a table of updates; reads the newest base and the deltas behind it."""
+    return _newest(spark, path, key, max(_complete(spark, f"{path}/base"), default=None), None, None)

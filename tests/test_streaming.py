@@ -119,7 +119,7 @@ def test_fleet_stream(spark, tmp_path):
     def run():
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         feed.updates_to_table(
-            feed.fleet_heartbeat(stream), str(tmp_path / "out"), str(tmp_path / "ck"), once=True
+            feed.fleet_heartbeat(stream), str(tmp_path / "out"), "node_id", str(tmp_path / "ck"), once=True
         ).awaitTermination()
         return feed.latest_rows(spark, str(tmp_path / "out"), "node_id").first()
 
@@ -131,6 +131,23 @@ def test_fleet_stream(spark, tmp_path):
     assert (row.hostname, row.incidents) == ("h", 1)
 
 
+def test_reads_touch_the_base_and_the_newer_deltas(spark, tmp_path):
+    feed_dir, out = tmp_path / "in", tmp_path / "out"
+    feed_dir.mkdir()
+    for i in range(8):
+        (feed_dir / f"{i}.json").write_text("".join(json.dumps({"k": k, "v": i}) + "\n" for k in ("a", f"only{i}")))
+        stream = spark.readStream.schema("k string, v long").json(str(feed_dir)).groupBy("k").agg(F.max("v").alias("v"))
+        feed.updates_to_table(stream, str(out), "k", str(tmp_path / "ck"), once=True, compact_every=3).awaitTermination()
+    assert sorted(p.name for p in (out / "base").iterdir()) == ["batch=2", "batch=5"]
+    assert sorted(p.name for p in (out / "delta").iterdir()) == [f"batch={i}" for i in range(3, 8)]
+    # A base that is not complete does not count.
+    (out / "base" / "batch=7").mkdir()
+    rows = feed.latest_rows(spark, str(out), "k")
+    assert sorted(map(tuple, rows.collect())) == [("a", 7), *((f"only{i}", i) for i in range(8))]
+    read = {f.split("batch=")[1].split("/")[0] + f.split("/batch=")[0][-5:] for f in rows.inputFiles()}
+    assert read == {"5/base", "6delta", "7delta"}
+
+
 def test_counters_of_many_batches(spark, tmp_path):
     """More batches than the query keeps progress reports of."""
     spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 2)

@@ -167,3 +167,14 @@ def test_report_of_a_session_without_public_events(make):
     stix = {r.artifact_id: json.loads(r.bundle)["objects"][0] for r in sinks.to_stix(events).collect()}
     assert stix["q"]["number_observed"] == 0 and stix["q"]["objects"] == {}
     assert stix["r"]["number_observed"] == 1
+
+
+def test_shared_paths_name_their_file_system(spark, tmp_path):
+    """A plain folder, one with a scheme and the default all give paths that Spark and other readers resolve alike."""
+    from sentrilake.session import qualified, shared_path
+
+    assert qualified(spark, str(tmp_path)) == qualified(spark, f"file://{tmp_path}") == f"file://{tmp_path}"
+    path = shared_path(spark, "table")
+    assert path.startswith("file:///") and path != shared_path(spark, "table")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3

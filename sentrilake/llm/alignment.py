@@ -32,9 +32,9 @@ from sentrilake.llm.slices import text_slices
 from sentrilake.llm.transducer import byte_alphabet
 from sentrilake.session import cut
 
-#: Bytes of the texts of a block.
-BLOCK_BYTES = 8 << 20
-_CACHED_PIECES, _LONGEST_PIECE = 150_000, 64
+#: Bytes of the texts of a block. As words and links they take some fifty times as much.
+BLOCK_BYTES = 2 << 20
+_CACHED_PIECES, _LONGEST_PIECE = 100_000, 64
 _SPACE = "▁"
 
 
@@ -197,7 +197,7 @@ _TYPES = [pa.int64()] * 6 + [pa.string(), pa.binary(), pa.binary()]
 
 def _align_block(both: Tokenizers, texts: list[str], digest) -> tuple[list[tuple], bytes]:
     """The figures of each text with the numbers of its links' pairs in the block's list, and that list: pairs, times."""
-    figures, keys, ends = [], [], [0]
+    figures, keys = [], []
     for a, b, a_ends, b_ends in both.encode(texts):
         if not len(a):
             figures.append((0, 0, 0, 0, ""))
@@ -205,11 +205,13 @@ def _align_block(both: Tokenizers, texts: list[str], digest) -> tuple[list[tuple
             at_a, at_b, a_last, b_last = align(a_ends, b_ends)
             keys.append(a[at_a] << 32 | b[at_b])
             figures.append((len(a), len(b), len(a_last), len(at_a), digest(both.group_text(a, b, a_last, b_last))))
-        ends.append(ends[-1] + 4 * figures[-1][3])
     if not keys:
         return [(*x, b"") for x in figures], b""
     pairs, number, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    numbers = number.astype("<u4").tobytes()
+    width = 2 if len(pairs) <= 1 << 16 else 4
+    numbers, ends = number.astype(f"<u{width}").tobytes(), [0]
+    for x in figures:
+        ends.append(ends[-1] + width * x[3])
     rows = [(*x, numbers[i:j]) for x, i, j in zip(figures, ends, ends[1:])]
     return rows, np.stack([pairs, times]).astype("<i8").tobytes()
 
@@ -277,8 +279,8 @@ def _summed(linked: DataFrame, counts: DataFrame) -> DataFrame:
                     best = np.concatenate([best, part["best"].to_numpy(zero_copy_only=False)])
                     continue
                 sums = []
-                for data in part["numbers"].to_pylist():
-                    number = np.frombuffer(data, "<u4")
+                for data, n in zip(part["numbers"].to_pylist(), part["n_links"].to_pylist()):
+                    number = np.frombuffer(data, f"<u{len(data) // n if n else 4}")
                     sums.append((int(best[number].sum()), int(links[number].sum())))
                 n_best, total = zip(*sums)
                 yield pa.RecordBatch.from_arrays(

@@ -64,3 +64,16 @@ def test_counts_are_of_the_whole_corpus(spark, monkeypatch):
     docs = [(i, f"the cat {'sat on ' * (i % 3)}the mat {i}") for i in range(30)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     assert sorted(map(tuple, alignment.align_documents(df).collect())) == sorted(brute.alignments(docs))
+
+
+def test_numbers_stand_for_the_pairs_of_a_block():
+    """Two bytes a link, or four where the list is longer than two can number."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 -_/", k=4000)) for _ in range(150)]
+    rows, pairs = alignment._align_block(alignment.tokenizers(), texts, str)
+    n = len(pairs) // 16
+    width = 4 if n > 65536 else 2
+    assert n > 5000 and all(len(row[-1]) == width * row[3] for row in rows)
+    listed, times = np.frombuffer(pairs, "<i8").reshape(2, -1)
+    numbers = np.frombuffer(b"".join(row[-1] for row in rows), f"<u{width}")
+    assert np.bincount(numbers, minlength=n).tolist() == times.tolist() and sorted(set(listed)) == listed.tolist()

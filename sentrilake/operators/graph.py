@@ -183,11 +183,21 @@ def edge_spans(events: DataFrame, size: int = BUCKET) -> DataFrame:
 def edges_into(events: DataFrame, wanted: DataFrame) -> DataFrame:
     """The edges that lead to the ``wanted`` events (artifact_id, event_id), without listing any other pairs.
 
-    Chains are linear in the events and are filtered; of pairing groups only the wanted events meet their sources, so the
+    Of chains only those of wanted events are read in order; of pairing groups only the wanted events meet their sources, so the
     output is linear in the spans of the wanted events.
     """
     wanted = wanted.select(KEY, F.col("event_id").alias("dst")).distinct()
-    single = explicit_edges(events).unionByName(temporal_edges(events)).unionByName(resource_edges(events))
+    explicit = explicit_edges(events).join(wanted, [KEY, "dst"], "left_semi")
+    chained = events.select(KEY, "event_id", "ord", F.inline(F.array(
+        F.struct(F.lit("TEMPORAL").alias("kind"), pid().cast("string").alias("name")),
+        F.struct(F.lit("RESOURCE").alias("kind"), _resource_path().alias("name")),
+    ))).filter((F.col("kind") == "TEMPORAL") | F.col("name").isNotNull())
+    # Only the chains that a wanted event is on are sorted; a null name is a chain of its own.
+    on = chained.join(wanted.withColumnRenamed("dst", "event_id"), [KEY, "event_id"], "left_semi").select(
+        F.col(KEY).alias("_key"), F.col("kind").alias("_kind"), F.col("name").alias("_name")).distinct()
+    same = (F.col(KEY) == F.col("_key")) & (F.col("kind") == F.col("_kind")) & F.col("name").eqNullSafe(F.col("_name"))
+    chains = adjacent_pairs(chained.join(on, same, "left_semi"), [KEY, "kind", "name"], "event_id").join(
+        wanted, [KEY, "dst"], "left_semi")
     members = memberships(events).filter(F.col("kind").isin("DNS", "LINEAGE"))
     group = [KEY, "kind", "name"]
     into = members.filter("is_dst").withColumnRenamed("event_id", "dst").join(wanted, [KEY, "dst"]).select(
@@ -195,7 +205,8 @@ def edges_into(events: DataFrame, wanted: DataFrame) -> DataFrame:
     from_ = members.filter("is_src").select(*group, F.col("event_id").alias("src"), "pos")
     pairs = into.join(from_, group).filter(F.col("pos") < F.col("at")).select(
         KEY, "src", "dst", F.when(F.col("kind") == "DNS", "CAUSAL").otherwise("PROCESS_LINEAGE").alias("kind"))
-    return single.join(wanted, [KEY, "dst"], "left_semi").select(*_EDGE).unionByName(pairs).withColumn("weight", F.lit(1))
+    edges = explicit.select(*_EDGE).unionByName(chains.select(*_EDGE)).unionByName(pairs)
+    return edges.withColumn("weight", F.lit(1))
 
 
 def add_edge(edges: DataFrame, extra: DataFrame, events: DataFrame) -> DataFrame:

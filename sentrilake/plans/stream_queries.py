@@ -108,14 +108,14 @@ def _watch(spark: SparkSession, d: str, what: str) -> DataFrame:
 
 
 def _watch_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Events in three batches, by the number of the source row."""
-    path = shared_path(spark, "feed")
+    """Events in three batches, by the number of the source row: the watch goes on with the files that each part adds."""
+    path, progress = shared_path(spark, "feed"), shared_path(spark, "progress")
     lines = _lines(session_events(spark, d))
-    for part in range(3):
-        lines.where(F.col("k") % 3 == part).select("value").coalesce(1).write.mode("append").text(path)
     watch = RiskWatch(shared_path(spark, "watch"), buffer=WATCH_BUFFER)
-    events = feed.accepted_events(read_events_stream(spark, path, max_files_per_trigger=1))
-    watch.start(events, shared_path(spark, "progress"), once=True).awaitTermination()
+    for part in range(3):
+        lines.where(F.col("k") % 3 == part).select("value").write.mode("append").text(path)
+        events = feed.accepted_events(read_events_stream(spark, path))
+        watch.start(events, progress, once=True).awaitTermination()
     return watch.incidents(spark).select(
         "batch", "host_id", "total_events", F.array_join("fired_rules", ",").alias("fired_rules"), "risk_score")
 

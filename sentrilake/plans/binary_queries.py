@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sentrilake.operators import triage
 from sentrilake.plans.adapter import load, stored
 from sentrilake.plans.query import Query
-from sentrilake.sources.binaries import read_binaries
+from sentrilake.sources.binaries import WHOLE_BYTES, read_binaries
 
 PE_HEADER_BYTES = 448
 
@@ -227,7 +227,7 @@ def _indicators(spark: SparkSession, d: str) -> DataFrame:
 
 def _file_triage(spark: SparkSession, d: str) -> DataFrame:
     """The table files themselves as binaries."""
-    out = triage.binary_triage(read_binaries(spark, d, "*.parquet"))
+    out = triage.binary_triage(read_binaries(spark, d, "*.parquet", WHOLE_BYTES))
     return out.select(
         F.substring_index("path", "/", -1).alias("file"), "size_bytes", "format", "is_packed",
         F.round("entropy", 6).alias("entropy"),

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sentrilake.llm.components import connected_components
 from sentrilake.llm.scratch import Scratch
-from sentrilake.llm.slices import slices
+from sentrilake.llm.slices import slices, small_batches
 from sentrilake.session import cut
 
 WORDS = 5
@@ -360,6 +360,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, scr
 def join_documents(docs: DataFrame, words: int = WORDS, sketch_bits: int = SKETCH_BITS,
                    boundary: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     with Scratch(docs.sparkSession) as scratch:
         with Scratch(docs.sparkSession) as counting:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrilake.llm.slices import text_slices
+from sentrilake.llm.slices import small_batches, text_slices
 
 UNKNOWN = "und"
 PER_LANGUAGE = 150
@@ -340,6 +340,7 @@ def label_words(model: Model, text: str) -> list[tuple[str, str, float]]:
 
 def predict_language(docs: DataFrame, model: Model) -> DataFrame:
     """Language of every row of ``docs`` (doc_id, text). One pass, no shuffle."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # size: features x languages of the sample
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,6 +357,7 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_language(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language is known with at least ``least_score``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 from sentrilake.llm import language
-from sentrilake.llm.slices import slices, text_slices
+from sentrilake.llm import slices as slicing
+from sentrilake.llm.slices import slices, small_batches, text_slices
 
 
 def test_slices():
@@ -62,3 +63,23 @@ def test_posteriors_against_enumeration():
         want_pairs += weight / total
         start += n
     assert np.allclose(pairs, want_pairs, atol=1e-5)
+
+
+def test_arrow_batches_end_at_the_slice_size(spark, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(slicing, "SLICE_BYTES", 100_000)
+    try:
+        small_batches(spark)
+        rows = spark.range(1000).selectExpr("repeat('x', 1000) AS text").coalesce(1)
+        found = [r[0] for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) == 1000 and max(found) <= 110
+        spark.conf.set(name, "50k")
+        small_batches(spark)
+        assert spark.conf.get(name) == "50k"
+    finally:
+        spark.conf.set(name, before)

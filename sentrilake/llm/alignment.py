@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrilake.llm import tokens
+from sentrilake.llm import tokens, worker
 from sentrilake.llm.scratch import Scratch
 from sentrilake.llm.slices import text_slices
 from sentrilake.llm.transducer import byte_alphabet
@@ -142,7 +142,7 @@ class Tokenizers:
         return "".join(map(self.names.__getitem__, codes.tolist()))[:-1]
 
 
-_TOKENIZERS: dict[tuple, Tokenizers] = {}
+_TOKENIZERS: dict[tuple, Tokenizers] = worker.keeps()
 
 
 def tokenizers(units: str | None = None, pieces: str | None = None) -> Tokenizers:

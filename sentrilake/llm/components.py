@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrilake.llm.scratch import Scratch
+from sentrilake.llm.worker import lean
 from sentrilake.session import cut
 
 
@@ -54,7 +55,7 @@ def connected_components(links: DataFrame, max_rounds: int = 40, scratch: Scratc
     """
     write = scratch.cut if scratch else cut
     a, b = links.columns[:2]
-    stars = write(links.select(a, b).where(F.col(a) != F.col(b)).mapInArrow(_contract, "node long, to long"))
+    stars = write(links.select(a, b).where(F.col(a) != F.col(b)).mapInArrow(lean(_contract), "node long, to long"))
     mark = _mark(stars)
     for _ in range(max_rounds):
         # node > to holds. Large star: neighbours above a node go to its smallest neighbour.

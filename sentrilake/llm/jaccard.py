@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from sentrilake.llm.components import connected_components
 from sentrilake.llm.scratch import Scratch
 from sentrilake.llm.slices import slices, small_batches
+from sentrilake.llm.worker import lean
 from sentrilake.session import cut
 
 WORDS = 5
@@ -165,8 +166,8 @@ def count_sketch(docs: DataFrame, scratch: Scratch, bits: int = SKETCH_BITS, wor
             {"block": pa.array(list(sums), pa.int32()), "counts": pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in sums.values()], pa.binary())}
         )
 
-    rows = scratch.cut(docs.select("text").mapInArrow(count, "block int, counts binary, tokens array<long>, sizes array<int>"))
-    summed = rows.where("block >= 0").select("block", "counts").repartition("block").mapInArrow(add, "block int, counts binary")
+    rows = scratch.cut(docs.select("text").mapInArrow(lean(count), "block int, counts binary, tokens array<long>, sizes array<int>"))
+    summed = rows.where("block >= 0").select("block", "counts").repartition("block").mapInArrow(lean(add), "block int, counts binary")
     out = np.zeros(1 << bits, np.int32)
     for block, data in summed.collect():
         out[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(data, np.int32)
@@ -221,7 +222,7 @@ def encode_sets(docs: DataFrame, sketch: np.ndarray, boundary: int, words: int =
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(encode, "doc_id long, n_shingles long, node long, keys array<long>, map array<long>")
+    return rows.mapInArrow(lean(encode), "doc_id long, n_shingles long, node long, keys array<long>, map array<long>")
 
 
 def _lists(sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -341,7 +342,7 @@ def _read_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int)
                 )
 
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << _FILTER_BITS))
-    rows = docs.select(place.alias("place"), "text").mapInArrow(encode, "node long, hashes array<long>")
+    rows = docs.select(place.alias("place"), "text").mapInArrow(lean(encode), "node long, hashes array<long>")
     return rows.join(wanted.withColumnRenamed("node", "wanted"), F.col("node") == F.col("wanted"), "left_semi").dropDuplicates(["node"])
 
 

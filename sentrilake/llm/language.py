@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrilake.llm.slices import small_batches, text_slices
+from sentrilake.llm.worker import lean
 
 UNKNOWN = "und"
 PER_LANGUAGE = 150
@@ -352,7 +353,7 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
                 ["doc_id", "lang_pred", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(predict), "doc_id long, lang_pred string, score double")
 
 
 def keep_language(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> DataFrame:
@@ -366,4 +367,4 @@ def keep_language(docs: DataFrame, model: Model, least_score: float = LEAST_SCOR
             found = labeller.documents(texts)
             yield part.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrilake.llm.slices import slices
+from sentrilake.llm.worker import lean
 
 
 @dataclass(frozen=True)
@@ -134,7 +135,7 @@ def judge_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], ["doc_id", *_FIGURES])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(judge, _SCHEMA)
+    return rows.mapInArrow(lean(judge), _SCHEMA)
 
 
 def keep_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
@@ -145,4 +146,4 @@ def keep_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
             for part in slices(batch):
                 yield part.filter(pa.array([x[6] for x in _judge(part["text"], bands)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

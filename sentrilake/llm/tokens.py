@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from sentrilake.llm import worker
+
 # A space is a border if the next character is visible in every definition of white space.
 _BORDER = re.compile(" (?=[!-~¡-ᙿ])")
 _VISIBLE = re.compile("[!-~¡-ᙿ]").match
@@ -103,11 +105,11 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = worker.keeps()
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker; it lives as long as the worker."""
+    """The encoder of this Python worker; it lives until the worker gets a task of another kind."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -35,6 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentrilake.llm import worker
 from sentrilake.llm.slices import slices, text_slices
 from sentrilake.llm.tokens import default_tokenizer
 
@@ -504,7 +505,7 @@ def decode_ids(rules: Rules, ids: np.ndarray) -> str:
     return "".join([*(stream.push(ids[at : at + PART]) for at in range(0, len(ids), PART)), stream.finish()])
 
 
-_RULES: dict[str, Rules] = {}
+_RULES: dict[str, Rules] = worker.keeps()
 
 
 def rules(path: str | None = None) -> Rules:

@@ -27,7 +27,6 @@ from sentrilake.session import cut
 CAPACITY = 1024
 #: Pieces that one task packs: enough to find partners, few enough for its memory.
 PER_TASK = 20_000
-_TASK_TEXTS = 500
 _PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 _PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -42,10 +41,10 @@ def cut_tokens(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
         encoder = tokens.encoder(tokenizer or tokens.default_tokenizer())
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            for part in slices(batch, rows=_TASK_TEXTS):
+            for part in slices(batch):
                 out = []
-                for doc, found in zip(part["doc_id"].to_pylist(), encoder(part["text"].to_pylist())):
-                    ids = np.frombuffer(found + end, "<u2").astype("<u4")
+                found, ends = encoder.encode(part["text"], end)
+                for doc, ids in zip(part["doc_id"].to_pylist(), np.split(found.astype("<u4"), ends[:-1])):
                     first = len(ids) % capacity or capacity
                     borders = [0, *range(min(first, len(ids)), len(ids) + 1, capacity)]
                     out += [

@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from sentrilake.llm import tokens
 from sentrilake.llm.elias_fano import EliasFano, encode
 from sentrilake.llm.files import open_input, open_output
+from sentrilake.llm.slices import slices
 from sentrilake.session import cut, shared_path
 
 _INDEX = struct.Struct("<4sqqq")
 _MAGIC = b"TST1"
 _READ_IDS = 1 << 21
-_TASK_TEXTS = 500
 
 
 def write_store(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
@@ -56,13 +56,12 @@ def write_store(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0)
         for batch in batches:
             if out is None:
                 out, path = open_output(folder, f"ids-{shard:05d}")
-            for at in range(0, batch.num_rows, _TASK_TEXTS):
-                part = batch.slice(at, _TASK_TEXTS)
-                found = encoder(part["text"].to_pylist())
-                lengths.append(np.array([len(x) // 2 + 1 for x in found], np.int64))
+            for part in slices(batch):
+                found, ends = encoder.encode(part["text"], end)
+                lengths.append(np.diff(ends, prepend=0))
                 nulls += part["doc_id"].null_count
                 ids.append(part["doc_id"].drop_null().to_numpy())
-                out.write(b"".join(y for x in found for y in (x, end)))
+                out.write(found.tobytes())
         if out is None:
             return
         out.close()

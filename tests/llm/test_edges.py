@@ -94,6 +94,35 @@ def test_encoder_is_the_library():
         assert encode_texts(texts) == [np.array(x.ids, "<u2").tobytes() for x in want]
 
 
+def test_encoder_with_end_ids_and_small_caches(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from sentrilake.llm import tokens
+
+    monkeypatch.setattr(tokens, "_CACHED_UNITS", 20)
+    found, rng = tokens.Encoder(default_tokenizer()), random.Random(3)
+    parts = [*"ab \n\t9'.,!s\u00e9\u00d7\u00aa\u3000\u5b57<|>_-&\x85\u0130", "'s", "'ll", "<|endoftext|>", "foo", "bar ", " x", " the,", " the.\nFoo", "w" * 50]
+    for _ in range(20):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(50)]
+        want = [x.ids for x in found.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids, ends = found.encode(pa.array(["left out", *texts])[1:], b"\2\0")
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*x, 2] for x in want]
+        assert found(texts) == [np.array(x, "<u2").tobytes() for x in want]
+    assert found([]) == [] and found.encode(pa.array([""]))[0].tolist() == []
+
+
+def test_encoder_encodes_a_word_once_whatever_follows(monkeypatch):
+    from sentrilake.llm import tokens
+
+    found, seen = tokens.Encoder(default_tokenizer()), []
+    plain = found._encode_units
+    monkeypatch.setattr(found, "_encode_units", lambda units: [seen.append(u) for u in units] and None or plain(units))
+    found(["a word, word. word;\nthen word! word", "a word? other:", "a other's, other"])
+    assert sorted(seen) == ["other", "word"]
+
+
 def test_quality(docs, empty):
     got = quality.judge_quality(docs)
     assert got.count() == len(DOCS) and quality.judge_quality(empty).count() == 0

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sentrilake.llm import tokens
 from sentrilake.llm.slices import slices
-from sentrilake.session import cut
+from sentrilake.session import cut, release_driver
 
 CAPACITY = 1024
 #: Pieces that one task packs: enough to find partners, few enough for its memory.
@@ -158,6 +158,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 3, per_task:
         done.append(packed.where("sequence_id IS NOT NULL"))
         items = packed.where("sequence_id IS NULL").drop("sequence_id", "offset")
         partitions = -(-partitions // 8)
+    release_driver(pieces.sparkSession)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentrilake.session import remove_path, shared_path
+from sentrilake.session import release_driver, remove_path, shared_path
 
 
 class Scratch:
-    """``cut`` writes a table, ``drop`` deletes it, leaving the ``with`` block deletes the rest.
+    """``cut`` writes a table, ``drop`` deletes it, leaving the ``with`` block deletes the rest and
+    gives back what the driver took for the run.
 
     A written table is complete, so an executor lost later costs nothing of what it was made
     from. Only drop what no table that is still to be written depends on."""
@@ -37,3 +38,4 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         remove_path(self.spark, self.folder)
+        release_driver(self.spark)

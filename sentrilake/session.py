@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -66,3 +67,19 @@ def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_driver(spark: SparkSession) -> None:
+    """Give memory of the driver's JVM back to the system: of plans and broadcasts that nothing refers to any more, and what the C
+    library keeps for each of the many threads that ran the stages. Without it a long run of small jobs holds a heap's worth
+    beside the heap. A JVM that cannot trim (before 17.0.9, or not on glibc) only collects its garbage."""
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    try:
+        # The server's own class is not open to callers, its interface is.
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        pass
